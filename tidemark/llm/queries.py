@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, packing, token_files
+from tidemark.llm import byte_bpe, packing, quality, sharding, simhash, token_files
 from tidemark.llm.common import documents, new_folder
 
-END_ID, CAPACITY = 1, 4096
+END_ID, CAPACITY, SHARDS = 1, 4096, 24
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +25,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(documents(spark, sf_dir), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), END_ID, CAPACITY)
 
@@ -37,6 +51,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op5_sharding": op5_sharding,
+        "op7_compression_bands": op7_compression_bands,
+        "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_token_files": op10_token_files,
     }
