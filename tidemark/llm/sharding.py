@@ -184,7 +184,7 @@ def with_slots(rows: DataFrame) -> DataFrame:
     for r in sorted(placed.groupBy("task", "shard").count().collect(), key=lambda r: r["task"]):
         base[r["task"], r["shard"]] = upto.get(r["shard"], 0)
         upto[r["shard"]] = upto.get(r["shard"], 0) + r["count"]
-    known = spark.sparkContext.broadcast(base)
+    known, columns = spark.sparkContext.broadcast(base), rows.columns
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upto: dict[int, int] = {}
@@ -198,7 +198,7 @@ def with_slots(rows: DataFrame) -> DataFrame:
                 first = upto.get(s, known.value[task, s])
                 slot[own] = np.arange(first, first + n)
                 upto[s] = first + n
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rows.columns), pa.array(slot)], names=[*rows.columns, "slot"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(slot)], names=[*columns, "slot"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return placed.mapInArrow(number, f"{kinds}, slot long")
