@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from array import array
+from unicodedata import is_normalized
+
 import numpy as np
 
 from tidemark.llm.common import one_thread
 
-#: Chunks held at once; a full cache is emptied.
+#: Chunks held in each half of the cache.
 CACHE_ENTRIES = 400_000
-#: Chunks in one call's text.
-BLOB_CHUNKS = 1000
-MARK = "\x00"
+
+
+def byte_names() -> dict[int, int]:
+    """The usual printable characters for the 256 bytes: themselves where printable, else from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: b if b in plain else next(rest) for b in range(256)}
 
 
 class ChunkEncoder:
@@ -19,8 +26,9 @@ class ChunkEncoder:
     The tokenizer drops white space before its merges and its normaliser works within a chunk
     (no canonical composition crosses a white-space starter, lower-casing is by character), so a
     text's ids are its chunks' ids in order. Each distinct chunk is encoded by the library once and
-    kept; unseen chunks of a batch go to the library together, parted by a mark that the tokenizer
-    gives one id. Special-token strings in a text are ordinary text.
+    kept. An unseen chunk of lower-case letters is one word to the tokenizer and goes straight to the
+    library's merges; a full stop or comma that ends it is a word of its own; any other chunk is encoded
+    by the library as a text. Special-token strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -29,43 +37,53 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        probe = self.tokenizer.encode(f"a {MARK} b", add_special_tokens=False).ids
-        alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", MARK, "b", "a\n\tb")]
-        if probe != alone[0] + alone[1] + alone[2] or len(alone[1]) != 1 or alone[3] != alone[0] + alone[2]:
+        self.dtype, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
+        alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", "b", "a\n\tb", "a b")]
+        if alone[2] != alone[0] + alone[1] or alone[3] != alone[2]:
             raise ValueError(f"{path}: tokens may span white space; encode whole texts instead")
-        self.mark = alone[1][0]
-        self.cache: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        odd = [x for x in chunks if b"\x00" in x]
-        even = [x for x in chunks if b"\x00" not in x] if odd else chunks
-        for x in odd:
-            ids = self.tokenizer.encode(x.decode(), add_special_tokens=False).ids
-            self.cache[x] = np.array(ids, self.dtype).tobytes()
-        parts = [even[k : k + BLOB_CHUNKS] for k in range(0, len(even), BLOB_CHUNKS)]
-        blobs = [b" \x00 ".join(p).decode() for p in parts]
-        width = np.dtype(self.dtype).itemsize
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(blobs, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.dtype)
-            marks = np.flatnonzero(ids == self.mark)
-            if len(marks) != len(part) - 1:
-                raise AssertionError("the mark is not the tokenizer's own")
-            raw = ids.tobytes()
-            starts = [0, *((marks + 1) * width).tolist()]
-            ends = [*(marks * width).tolist(), len(raw)]
-            self.cache.update((x, raw[a:b]) for x, a, b in zip(part, starts, ends, strict=True))
+        self.merges = self.tokenizer.model.tokenize
+        self.byte_names = byte_names()
+        self.closing = {p: np.array(self.tokenizer.encode(p.decode(), add_special_tokens=False).ids, self.dtype).tobytes() for p in (b".", b",")}
+        words = ["straße", "naïve", "the", "él", "x"]
+        if any([t.id for t in self.merges(w.encode().decode("latin-1").translate(self.byte_names))] != self.tokenizer.encode(w, add_special_tokens=False).ids for w in words):
+            raise ValueError(f"{path}: words are not merged over byte names")
+        self.cache = _Kept(self._learn)
+
+    def _learn(self, x: bytes) -> bytes:
+        end = self.closing.get(x[-1:], b"")
+        word = x[:-1] if end else x
+        text = word.decode()
+        if end and text[-1:].isalpha():
+            return self.cache[word] + end
+        if not end and text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+            return array(self.code, [t.id for t in self.merges(word.decode("latin-1").translate(self.byte_names))]).tobytes()
+        ids = self.tokenizer.encode(x.decode(), add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as flat integers of self.dtype."""
-        chunks = [t.split() for t in texts]
-        words = set().union(*chunks)
-        if len(self.cache) + len(words) > CACHE_ENTRIES:
-            self.cache.clear()
-        if new := list(words.difference(self.cache)):
-            self._learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        get, out = self.cache.__getitem__, []
+        for t in texts:
+            # the tokenizer lower-cases too; a combining mark may compose with small letters only, so such texts stay
+            out.append(b"".join(map(get, (t if b"\xcc" in t else t.lower()).split())))
+        return out
+
+
+class _Kept(dict):
+    """Learns what it lacks; of two halves, the one that was filled longer ago goes when the other is full."""
+
+    def __init__(self, learn):
+        self.learn, self.older = learn, {}
+
+    def __missing__(self, x: bytes) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(x)
+        if found is None:
+            found = self.learn(x)
+        self[x] = found
+        return found
 
 
 _encoders: dict[str, ChunkEncoder] = {}
