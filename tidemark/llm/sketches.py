@@ -14,6 +14,8 @@ tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +70,8 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return F.array_sort(F.when(F.size(below) > 0, below).when(F.size(both) > 0, F.array(F.array_min(both))).otherwise(both))
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """Adds `next_<c>` for each column: its value in the next row by descending id, after the last in the first.
+def with_next(df: DataFrame, id_col: str, prepare: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """Adds what `prepare` makes of each row, once a row, and `next_<c>` for each column: its value in the next row by descending id, after the last in the first.
 
     Rows are dealt to ranges of ids in one shuffle; within a range a window looks ahead, and each range
     also holds the first row of the range below it (one row, found from the ranges' greatest ids), so no
@@ -90,21 +92,20 @@ def with_next(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     # the greatest id of each range, at most n + 1 rows
     tops = sorted((r["b"], r["top"]) for r in df.select(bucket.alias("b"), held.alias("i")).groupBy("b").agg(F.max("i").alias("top")).collect())
     if not tops:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return prepare(df).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     above = [(tops[(k + 1) % len(tops)][0], top) for k, (_, top) in enumerate(tops)]
     ghosts = spark.createDataFrame(above, "to_bucket int, top long")
     own = df.withColumns({"__bucket": bucket, "__ghost": F.lit(False)})
     sent = df.join(F.broadcast(ghosts), held.eqNullSafe(ghosts["top"])).withColumns({"__bucket": F.col("to_bucket"), "__ghost": F.lit(True)}).drop("to_bucket", "top")
     order = Window.partitionBy("__bucket").orderBy("__ghost", F.col(id_col).desc_nulls_last(), F.xxhash64(*columns))
-    looked = own.unionByName(sent).withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    looked = prepare(own.unionByName(sent)).withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
     return looked.filter("NOT __ghost").drop("__bucket", "__ghost")
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited, sketch, next_sketch): the edited text has its second half replaced from the next one's start."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = with_sketches(rows.withColumn("t", F.col("text")), sketch="t")
-    seen = with_next(rows, "doc_id", ["text", "sketch"])
+    seen = with_next(rows, "doc_id", lambda df: with_sketches(df, sketch="text"), ["text", "sketch"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
