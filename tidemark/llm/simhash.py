@@ -9,6 +9,12 @@ segments of one bit: the same join on the fingerprint and its 64 one-bit neighbo
 cell already proves a distance of 2 or less, so links to a cell's smallest member suffice and a
 cell holds 65 members at most. Neither all pairs of a group nor a large cell is ever built.
 
+Texts that differ in a few words may lie further apart than two bits. `similar` finds those whose sets of
+five-word shingles have a similarity of 0.8 or more: it deals a text's shingles by their hash to parts
+of a few each and takes the SimHash of every part. Edits change only the parts that hold an edited shingle, so
+near copies share whole part fingerprints; each part fingerprint points its texts to one of them,
+and a pair is a link if enough of its parts agree. `one_of_each` joins both kinds of links.
+
 Components are taken over distinct fingerprints; documents with one fingerprint share its row.
 
 Nulls: a null text has no words, so its fingerprint is zero, linked like any other. A null document id
@@ -124,15 +130,89 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(table, prints["fp"] == table["k"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, less all but one of each component: the one with the smallest id (null
-    ids last, then the smallest hash of the text; of rows equal in both, any one)."""
+#: Shingles in a part on average, parts of a text that are compared, and the least share of them that agrees.
+#: A text and its copy with similarity 0.8 have 8 of 9 shingles in common, so parts of 6 agree with a chance of about a half.
+PART, PARTS, AGREE = 6, 64, 0.25
+
+
+def parts_of(texts: list[bytes], size: int) -> list[list[int]]:
+    """Part fingerprints of each text, as signed numbers that also tell the part and how many parts there are.
+
+    The number of parts is the power of two that the shingles fill with 4 to 8 each; texts just above such a step are
+    also dealt to half as many, where those just below meet them.
+    """
+    from xxhash import xxh64_intdigest
+
+    out = []
+    for text in texts:
+        words = text.lower().split()
+        shingles = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+        h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+        h.sort()
+        found: list[int] = []
+        many = max(1, len(h) * 2 // (PART * 2 - 4))
+        power = 1 << (many.bit_length() - 1)
+        for count in (power, power // 2) if 1 < power and many < 1.4 * power else (power,):
+            part = (h >> np.uint64(32)).astype(np.int64) & (count - 1)
+            own = h[part < PARTS]
+            part = part[part < PARTS]
+            order = np.argsort(part, kind="stable")
+            own, part = own[order], part[order]
+            if not len(own):
+                continue
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            sizes = np.diff(np.append(starts, len(part)))
+            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            over = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > sizes[:, None]
+            prints = np.packbits(over, axis=1, bitorder="little").view("<u8").reshape(-1)
+            # parts of one or two shingles say little about the text, unless it has no more
+            telling = (sizes > 2) | (count == 1)
+            prints, part = prints[telling], part[starts][telling]
+            tag = np.frombuffer(b"".join(xxh64_intdigest(f"{count}/{p}".encode(), SEED).to_bytes(8, "little") for p in part.tolist()), "<u8") if len(part) else np.zeros(0, np.uint64)
+            found += (prints.astype(np.uint64) ^ tag).astype(np.int64).tolist()
+        out.append(found)
+    return out
+
+
+def similar(dealt: DataFrame) -> DataFrame:
+    """(a, b): links among the ids of rows (id, part), each id's distinct part fingerprints.
+
+    Each shared part fingerprint gives a link from each of its ids to one of them, the one that shares the most
+    parts with any other (a text that others were copied from shares all of its own), so a group of
+    any size costs its own number of rows; a link holds if enough parts of the smaller text agree.
+    """
+    sizes = dealt.groupBy("id").agg(F.count("*").alias("n")).withColumnRenamed("id", "k")
+    several = dealt.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
+    shared = cut(dealt.join(several, "part", "left_semi").select("id", "part"))
+    known = shared.groupBy("id").agg(F.count("*").alias("degree")).withColumnRenamed("id", "k")
+    centres = shared.join(known, shared["id"] == known["k"]).groupBy("part").agg(F.max(F.struct("degree", "id")).alias("m")).select(F.col("part").alias("p"), F.col("m.id").alias("a"))
+    met = shared.join(centres, (shared["part"] == centres["p"]) & (shared["id"] != centres["a"])).groupBy("id", "a").agg(F.count("*").alias("agree"))
+    met = cut(met)
+    judged = met.join(sizes, met["id"] == sizes["k"]).select("id", "a", "agree", F.col("n").alias("n_id")).join(sizes, F.col("a") == sizes["k"])
+    return judged.filter(F.col("agree") >= AGREE * F.least("n", "n_id")).select("a", F.col("id").alias("b"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, part_size: int = 5) -> DataFrame:
+    """The rows of docs, all columns, less all but one of each component of both kinds of links: the one with the
+    smallest id (null ids last, then the smallest hash of the text; of rows equal in both, any one)."""
+    ship(docs.sparkSession)
     row = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
-    prints = fingerprints(docs.select(row.alias("row"), F.col(text_col).alias("text")), "row", "text", size)
-    prints = cut(prints.select(F.col("doc_id").alias("row"), "fp"))
-    first = prints.groupBy("fp").agg(F.min("row").alias("row"))
-    by_print = classes(prints).join(first, "fp")
+    rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            texts = utf8(b.column(1))
+            prints = pa.array(fingerprint_of(texts, size).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(parts_of(texts, part_size), pa.list_(pa.int64()))], names=["row", "fp", "parts"])
+
+    seen = cut(rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp long, parts array<long>"))
+    nodes = cut(seen.groupBy("fp").agg(F.min("row").alias("row")))
+    dealt = seen.select(F.col("fp").alias("id"), F.explode("parts").alias("part")).distinct()
+    roots = components(links(nodes.select("fp")).unionByName(similar(dealt)))
+    by_print = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("row", F.coalesce("root", "fp").alias("root"))
     chosen = by_print.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("__id"), F.col("row.text").alias("__text"))
     held = docs.withColumn("__hash", F.xxhash64(text_col))
     kept = held.join(chosen, held[id_col].eqNullSafe(chosen["__id"]) & (held["__hash"] == chosen["__text"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__hash"]).drop("__hash")
+    if not seen.groupBy("row").count().filter("count > 1").isEmpty():  # rows that repeat, so one key has several
+        kept = kept.dropDuplicates([id_col, "__hash"])
+    return kept.drop("__hash")
