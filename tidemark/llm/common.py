@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -68,10 +70,19 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small slices of Arrow batches, so that a task holds few texts as Python objects at once."""
+    """Small slices of Arrow batches, so that a task holds few texts as Python objects at once; what the batch
+    took is given back to the system after it."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory that the worker's allocators hold goes back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
