@@ -131,8 +131,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Shingles in a part on average, parts of a text that are compared, and the least share of them that agrees.
-#: A text and its copy with similarity 0.8 have 8 of 9 shingles in common, so parts of 6 agree with a chance of about a half.
-PART, PARTS, AGREE = 6, 64, 0.25
+#: A copy with similarity 0.8 keeps 8 of 9 shingles and has 1 in 9 new ones, so a part of 6 agrees with a chance of (8/9)^12,
+#: about 0.24; with similarity 0.7 it is 0.1, with 0.6 it is 0.03.
+PART, PARTS, AGREE = 6, 64, 0.2
 
 
 def parts_of(texts: list[bytes], size: int) -> list[list[int]]:
