@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 import yaml
 
+from tidemark import cli
 from tidemark.plans.pipeline import CONTRACTS
 from tidemark.sources import contracts as c
 
@@ -53,3 +54,19 @@ def test_breaking_changes_need_a_version():
 @pytest.mark.parametrize(("v", "key"), [(1, (1,)), ("1.2.0", (1, 2)), ("2.0", (2,)), (0, (0,))])
 def test_versions(v, key):
     assert c.version_key(v) == key
+
+
+def test_commands(tmp_path, capsys):
+    assert cli.main(["check-contracts"]) == 0
+    (tmp_path / "a.yml").write_text(yaml.safe_dump(RAW))
+    changed = tmp_path / "new"
+    changed.mkdir()
+    (changed / "a.yml").write_text(yaml.safe_dump(RAW | {"primary_key": ["updated_at"]}))
+    base = ["compare-contracts", "--contracts", str(changed), "--base-contracts", str(tmp_path)]
+    (tmp_path / "new" / "b.yml").write_text(yaml.safe_dump(RAW | {"dataset": "other"}))
+    assert cli.main([*base[:-1], str(tmp_path / "none")]) == 0
+    old = tmp_path / "old"
+    old.mkdir()
+    (old / "a.yml").write_text(yaml.safe_dump(RAW))
+    assert cli.main([*base[:-1], str(old)]) == 2
+    assert "primary key changed" in capsys.readouterr().err

@@ -1,4 +1,5 @@
-"""Command line: inspect, run-bronze, run-silver, run-gold, run-quality, run-all, run-backfill, report, reset, clean."""
+"""Command line: inspect, run-bronze, run-silver, run-gold, run-quality, run-all, run-backfill, report, reset, clean,
+check-contracts (a folder is sound) and compare-contracts (no breaking change without a higher version)."""
 
 from __future__ import annotations
 
@@ -8,8 +9,11 @@ import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
+import yaml
+
 from tidemark.plans import backfill
-from tidemark.plans.pipeline import CLEAN, DAILY, METRICS, RAW, SUMMARY, Pipeline
+from tidemark.plans.pipeline import CLEAN, CONTRACTS, DAILY, METRICS, RAW, SUMMARY, Pipeline
+from tidemark.sources import contracts
 from tidemark.sources.session import log_to, resolve_input, session
 from tidemark.sources.store import TableStore
 
@@ -18,7 +22,7 @@ STAGES = {"run-bronze": "raw", "run-silver": "clean", "run-gold": "daily", "run-
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidemark", description=__doc__)
-    p.add_argument("command", choices=[*STAGES, "run-backfill", "inspect", "report", "reset", "clean"])
+    p.add_argument("command", choices=[*STAGES, "run-backfill", "inspect", "report", "reset", "clean", "check-contracts", "compare-contracts"])
     p.add_argument("--warehouse", default="warehouse")
     p.add_argument("--input")
     p.add_argument("--root", default=".")
@@ -29,10 +33,30 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-invalid-ratio", type=float, default=0.001)
     p.add_argument("--no-strict-quality", action="store_true")
     p.add_argument("--master")
+    p.add_argument("--contracts", default=str(CONTRACTS))
+    p.add_argument("--base-contracts")
     return p
 
 
+def check_contracts(args: argparse.Namespace) -> None:
+    """Raises with everything that is wrong; needs no session."""
+
+    def raw(folder: str) -> list[tuple[Path, dict]]:
+        return [(p, yaml.safe_load(p.read_text())) for p in sorted(Path(folder).rglob("*.yml"))]
+
+    found = [f"{p.name}: {x}" for p, c in raw(args.contracts) for x in contracts.problems(c)]
+    if args.command == "compare-contracts" and not found:
+        if not args.base_contracts:
+            raise ValueError("compare-contracts needs --base-contracts")
+        old, new = ({c["dataset"]: contracts.parse(c) for _, c in raw(f)} for f in (args.base_contracts, args.contracts))
+        found = contracts.evolution_errors(old, new)
+    if found:
+        raise ValueError("; ".join(found))
+
+
 def command(args: argparse.Namespace) -> None:
+    if args.command.endswith("-contracts"):
+        return check_contracts(args)
     spark = session(master=args.master)
     store = TableStore(args.warehouse, spark)
     log = log_to(Path("logs") / "tidemark.jsonl")
@@ -64,6 +88,7 @@ def command(args: argparse.Namespace) -> None:
         takes_input = args.command in ("run-bronze", "run-all")
         stage(*([str(resolve_input(args.root, args.input, args.year, args.month))] if takes_input else []))
     log.info(f"{args.command} done", extra={"fields": {"run_id": run_id}})
+    return None
 
 
 def main(argv: list[str] | None = None) -> int:
