@@ -20,9 +20,9 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import pick, ship, slices
+from tidemark.llm.common import Kept, pick, ship, slices
 
-#: Pieces and token pairs that a worker keeps; a full table is emptied.
+#: Pieces (in each of two halves) and token pairs that a worker keeps.
 CACHE_ENTRIES = 400_000
 
 
@@ -46,7 +46,7 @@ class BytePairs:
         self.automaton.make_automaton()
         self.spines: dict[int, tuple[list, list]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Kept(self.encode_piece, CACHE_ENTRIES)
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts that the last merge of a token joins."""
@@ -110,15 +110,7 @@ class BytePairs:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text: each match of the pattern by itself, no special tokens."""
-        kept, found = self.pieces, self.find(text)
-        for piece in set(found).difference(kept):
-            if len(kept) >= CACHE_ENTRIES:
-                kept.clear()
-            kept[piece] = self.encode_piece(piece)
-        try:
-            return list(chain.from_iterable(map(kept.__getitem__, found)))
-        except KeyError:  # emptied on the way
-            return list(chain.from_iterable(kept.get(x) or self.encode_piece(x) for x in found))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

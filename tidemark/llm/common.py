@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -94,3 +94,24 @@ def one_thread() -> None:
     """Keeps libraries in a Python worker to the core that Spark gave it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+class Kept(dict):
+    """Learns what it lacks; of two halves, the one that was filled longer ago goes when the other is full.
+    Keys of over `LONG` characters are learnt each time, so the size is bounded."""
+
+    LONG = 256
+
+    def __init__(self, learn: Callable, entries: int):
+        self.learn, self.entries, self.older = learn, entries, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        if found is None:
+            found = self.learn(key)
+        if len(key) <= self.LONG:
+            self[key] = found
+        return found

@@ -7,7 +7,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 
-from tidemark.llm.common import one_thread
+from tidemark.llm.common import Kept, one_thread
 
 #: Chunks held in each half of the cache.
 CACHE_ENTRIES = 400_000
@@ -47,7 +47,7 @@ class ChunkEncoder:
         words = ["straße", "naïve", "the", "él", "x"]
         if any([t.id for t in self.merges(w.encode().decode("latin-1").translate(self.byte_names))] != self.tokenizer.encode(w, add_special_tokens=False).ids for w in words):
             raise ValueError(f"{path}: words are not merged over byte names")
-        self.cache = _Kept(self._learn)
+        self.cache = Kept(self._learn, CACHE_ENTRIES)
 
     def _learn(self, x: bytes) -> bytes:
         end = self.closing.get(x[-1:], b"")
@@ -69,23 +69,6 @@ class ChunkEncoder:
         return out
 
 
-class _Kept(dict):
-    """Learns what it lacks; of two halves, the one that was filled longer ago goes when the other is full."""
-
-    def __init__(self, learn):
-        self.learn, self.older = learn, {}
-
-    def __missing__(self, x: bytes) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(x)
-        if found is None:
-            found = self.learn(x)
-        self[x] = found
-        return found
-
-
 _encoders: dict[str, ChunkEncoder] = {}
 
 
