@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from datetime import date
@@ -191,6 +192,23 @@ def test_lookalikes_stay(spark):
     assert replaced(spark, *texts) == texts
 
 
+def test_phones_outside_the_plan(spark):
+    """With any_phone, numbers that the plan does not give out get pseudonyms too, each of its own kind."""
+    numbers = ["+1 (017) 555-7713", "+1-743-155-0000", "+1 (000) 000-0000", "+1 (199) 199-9999", "+1 (743) 555-3824", "+1 (999) 000-9999"]
+    df = spark.createDataFrame([(k, f"call {t}!") for k, t in enumerate(numbers)], "doc_id long, text string")
+    out = [r["text"][5:-1] for r in pii.pseudonymise(df, any_phone=True).orderBy("doc_id").collect()]
+    for before, after in zip(numbers, out, strict=True):
+        assert before != after and re.sub("[0-9]", "0", before) == re.sub("[0-9]", "0", after)
+        d, got = (re.sub("[^0-9]", "", x)[1:] for x in (before, after))
+        area, exchange, line = int(d[:3]), int(d[3:6]), int(d[6:])
+        (a, areas), (e, exchanges) = ((0, 200) if x < 200 else (200, 800) for x in (area, exchange))
+        part = math.isqrt(areas * exchanges * 10000)
+        moved = plain_feistel(((area - a) * exchanges + exchange - e) * 10000 + line, part, part, pii.DEFAULT_KEY, "phone")
+        assert got == f"{moved // 10000 // exchanges + a:03}{moved // 10000 % exchanges + e:03}{moved % 10000:04}"
+    assert replaced(spark, numbers[4])[0] == out[4]  # numbers of the plan have one pseudonym either way
+    assert replaced(spark, "+1 (017) 555-77134", numbers[0]) == ["+1 (017) 555-77134", numbers[0]]
+
+
 def test_permutation_is_one_to_one(spark):
     df = spark.range(1000).withColumn("y", pii.permute_number(F.col("id"), (F.lit(40), F.lit(25)), "k", "x"))
     assert sorted(r["y"] for r in df.collect()) == list(range(1000))

@@ -6,8 +6,8 @@ over the sum of both counts; for it to reach the threshold t, a passage's count
 t / (2 - t) and (2 - t) / t of the template's, so a template outside is never compared, and a passage
 outside the bounds of all templates is dropped before its bigrams are built.
 
-Templates are a short fixed list held in the expression itself: no join, no shuffle but the one that brings a
-document's passages together, where only those that match any template arrive.
+Templates are a short fixed list held in the expression itself, and a document's passages stay in its row: no
+join and no shuffle.
 
 Nulls: a null text has no passages; null ids stay. Empty texts and texts without a licence get no licence
 (null) and the score 0. Ties between templates go to the first in the list. Repeated rows are reported each

@@ -7,7 +7,9 @@ keyed hash (SHA-256) of the other:
 
 - payment cards (13 to 19 digits, Luhn): the digits but the last, which is computed anew; so the pseudonym
   is valid too. Digits may be grouped by single blanks or hyphens, which stay.
-- telephone numbers of the North American plan, with +1: area, exchange and line, each in its range.
+- telephone numbers of the North American plan, with +1: area, exchange and line, each in its range. With
+  `any_phone`, also numbers of that shape whose area or exchange the plan does not give out (below 200): people write
+  such numbers too, and each stays below or above 200, so no number of one kind becomes one of the other.
 - IPv4 addresses: the 32 bits. Dates (YYYY-MM-DD, valid, 1800 to 2199): the days of these 400 years.
 - e-mail addresses: letters and digits of the local part, each within its own kind; the domain stays.
 - access keys (AKIA or ASIA and 16 signs): the signs after the prefix.
@@ -38,10 +40,11 @@ PATTERNS = {
     "date": r"(?<![0-9\-])(?:1[89]|2[01])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
-ANY = "|".join(PATTERNS.values())
+#: The same shape with any digits.
+ANY_PHONE = PATTERNS["phone"].replace("[2-9][0-9]{2}", "[0-9]{3}")
 #: Fixed values of the formats.
 DAYS_OF_400_YEARS, DAY_PARTS, FIRST_DAY = 146097, (189, 773), "1800-01-01"
-PLAN_PART = 80_000  # its square is 800 areas * 800 exchanges * 10000 lines
+PLAN_FROM = 200  # the least area and exchange that the plan gives out
 
 
 def keyed(key: str, kind: str, round_: Column, value: Column) -> Column:
@@ -134,10 +137,17 @@ def card(value: Column, key: str) -> Column:
 
 def phone(value: Column, key: str) -> Column:
     d = F.substring(digits_of(value), 2, 10)
-    number = ((F.substring(d, 1, 3).cast("long") - 200) * 800 + F.substring(d, 4, 3).cast("long") - 200) * 10000 + F.substring(d, 7, 4).cast("long")
-    moved = permute_number(number, (F.lit(PLAN_PART), F.lit(PLAN_PART)), key, "phone")
+    area, exchange = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 3).cast("long")
+    least = lambda x: F.when(x < PLAN_FROM, 0).otherwise(PLAN_FROM)
+    exchanges = F.when(exchange < PLAN_FROM, PLAN_FROM).otherwise(1000 - PLAN_FROM)
+    number = ((area - least(area)) * exchanges + exchange - least(exchange)) * 10000 + F.substring(d, 7, 4).cast("long")
+    # areas * exchanges * 10000 lines is a square for each of the four kinds: 80000, 40000 (twice) and 20000
+    low = F.when(area < PLAN_FROM, 2).otherwise(1) * F.when(exchange < PLAN_FROM, 2).otherwise(1)
+    part = F.floor(F.lit(80_000) / low)
+    moved = permute_number(number, (part, part), key, "phone")
     head = F.floor(moved / 10000).cast("long")
-    new = F.concat((F.floor(head / 800) + 200).cast("string"), (head % 800 + 200).cast("string"), F.lpad((moved % 10000).cast("string"), 4, "0"))
+    three = lambda x: F.lpad(x.cast("string"), 3, "0")
+    new = F.concat(three(F.floor(head / exchanges) + least(area)), three(head % exchanges + least(exchange)), F.lpad((moved % 10000).cast("string"), 4, "0"))
     return refill(value, F.concat(F.lit("1"), new))
 
 
@@ -169,20 +179,24 @@ def access_key(value: Column, key: str) -> Column:
     return F.concat(F.substring(value, 1, 4), permute_text(F.substring(value, F.lit(5), F.length(value)), key, "access key", F.lit(False)))
 
 
-def pseudonym(value: Column, key: str = DEFAULT_KEY) -> Column:
+def patterns(any_phone: bool = False) -> dict[str, str]:
+    return PATTERNS | {"phone": ANY_PHONE} if any_phone else PATTERNS
+
+
+def pseudonym(value: Column, key: str = DEFAULT_KEY, any_phone: bool = False) -> Column:
     """The pseudonym of one found value, by the first format that it has."""
     kinds = {"email": email, "secret": secret, "access_key": access_key, "phone": phone, "ip": ip, "date": date, "card": card}
-    out = value
-    for kind in reversed(PATTERNS):
-        out = F.when(value.rlike(f"^(?:{PATTERNS[kind]})$"), kinds[kind](value, key)).otherwise(out)
+    out, shapes = value, patterns(any_phone)
+    for kind in reversed(shapes):
+        out = F.when(value.rlike(f"^(?:{shapes[kind]})$"), kinds[kind](value, key)).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", any_phone: bool = False) -> DataFrame:
     """The rows with their texts pseudonymised; all other columns stay. No shuffle."""
-    text = F.col(f"`{text_col}`")
-    between = F.split(text, ANY, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda v: pseudonym(v, key))
+    text, found_by = F.col(f"`{text_col}`"), "|".join(patterns(any_phone).values())
+    between = F.split(text, found_by, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(found_by), 0), lambda v: pseudonym(v, key, any_phone))
     # one more text between than values: each value after the text before it
     joined = F.array_join(F.flatten(F.zip_with(between, found, lambda t, v: F.array(F.coalesce(t, F.lit("")), F.coalesce(v, F.lit(""))))), "")
-    return docs.withColumn(text_col, F.when(text.rlike(ANY), joined).otherwise(text))
+    return docs.withColumn(text_col, F.when(text.rlike(found_by), joined).otherwise(text))

@@ -43,7 +43,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(documents(spark, sf_dir))
+    return pii.pseudonymise(documents(spark, sf_dir), any_phone=True)
 
 
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
