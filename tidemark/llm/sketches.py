@@ -94,7 +94,8 @@ def with_next(df: DataFrame, id_col: str, prepare: Callable[[DataFrame], DataFra
     if not tops:
         return prepare(df).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     above = [(tops[(k + 1) % len(tops)][0], top) for k, (_, top) in enumerate(tops)]
-    ghosts = spark.createDataFrame(above, "to_bucket int, top long")
+    pairs = [F.struct(F.lit(to).cast("int").alias("to_bucket"), F.lit(top).cast("long").alias("top")) for to, top in above]
+    ghosts = spark.range(1).select(F.inline(F.array(*pairs)))
     own = df.withColumns({"__bucket": bucket, "__ghost": F.lit(False)})
     sent = df.join(F.broadcast(ghosts), held.eqNullSafe(ghosts["top"])).withColumns({"__bucket": F.col("to_bucket"), "__ghost": F.lit(True)}).drop("to_bucket", "top")
     order = Window.partitionBy("__bucket").orderBy("__ghost", F.col(id_col).desc_nulls_last(), F.xxhash64(*columns))
