@@ -85,6 +85,11 @@ def test_cli_exit_code(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["run-all", "--warehouse", str(tmp_path / "w"), "--input", path]) == 0
     assert cli.main(["inspect", "--warehouse", str(tmp_path / "w")]) == 0
     assert "silver.trips_clean 3" in capsys.readouterr().out
+    assert cli.main(["inspect", "--warehouse", str(tmp_path / "w"), "--input", path]) == 0
+    shown = capsys.readouterr().out
+    assert shown.startswith("struct<") and shown.rstrip().endswith(f"{path} 3")
+    assert cli.main(["report", "--warehouse", str(tmp_path / "w"), "--output", str(tmp_path / "out" / "kpi.txt")]) == 0
+    assert (tmp_path / "out" / "kpi.txt").read_text() == capsys.readouterr().out
 
 
 def test_stream_equals_batch(spark, tmp_path):

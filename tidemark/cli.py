@@ -1,4 +1,4 @@
-"""Command line: inspect, run-bronze, run-silver, run-gold, run-quality, run-all, run-backfill, report, reset, clean,
+"""Command line: inspect (tables, or an input file), run-bronze, run-silver, run-gold, run-quality, run-all, run-backfill, report, reset, clean,
 check-contracts (a folder is sound) and compare-contracts (no breaking change without a higher version)."""
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tidemark.sources.session import log_to, resolve_input, session
 from tidemark.sources.store import TableStore
 
 STAGES = {"run-bronze": "raw", "run-silver": "clean", "run-gold": "daily", "run-quality": "quality", "run-all": "all"}
+PREVIEW = 5  # rows that inspect shows of an input file
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--master")
     p.add_argument("--contracts", default=str(CONTRACTS))
     p.add_argument("--base-contracts")
+    p.add_argument("--output", help="file for the report, beside printing it")
     return p
 
 
@@ -66,7 +68,13 @@ def command(args: argparse.Namespace) -> None:
         return Pipeline(spark, store, run, datetime.now(timezone.utc), year, month, args.max_invalid_ratio, not args.no_strict_quality)
 
     log.info(args.command, extra={"fields": {"run_id": run_id}})
-    if args.command == "inspect":
+    if args.command == "inspect" and args.input:
+        df = spark.read.parquet(str(resolve_input(args.root, args.input)))
+        print(df.schema.simpleString())
+        for r in df.limit(PREVIEW).collect():
+            print(r.asDict())
+        print(args.input, df.count())
+    elif args.command == "inspect":
         for t in store.tables():
             print(t, store.read(spark, t).count())
     elif args.command == "reset":
@@ -78,7 +86,11 @@ def command(args: argparse.Namespace) -> None:
                 store.vacuum(t)
         backfill.purge(Path(args.root) / "checkpoints")
     elif args.command == "report":
-        print(pipeline(run_id, args.year, args.month).report(), end="")
+        text = pipeline(run_id, args.year, args.month).report()
+        print(text, end="")
+        if args.output:
+            Path(args.output).parent.mkdir(parents=True, exist_ok=True)
+            Path(args.output).write_text(text)
     elif args.command == "run-backfill":
         planned = backfill.resolve_range(args.start, args.end, args.year, args.month)
         settings = {"months": [backfill.token(m) for m in planned], "max_invalid_ratio": args.max_invalid_ratio, "strict": not args.no_strict_quality}

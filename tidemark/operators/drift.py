@@ -70,6 +70,11 @@ def compared(current: DataFrame, baseline: DataFrame, thresholds: dict[str, tupl
     return changed.select("metric_name", "baseline_value", "observed_value", "delta_ratio", severity(F.col("delta_ratio"), warn, error).alias("severity"))
 
 
+def listing(events: DataFrame) -> DataFrame:
+    """Events of all runs for reading: latest run first, then by severity (warn before error), dataset and metric."""
+    return events.orderBy(F.desc("run_ts"), F.desc("severity"), "dataset", "metric_name")
+
+
 def detect(store: Any, df: DataFrame, *, dataset: str, run_id: str, run_ts: Any, metrics: dict[str, Column], distribution: str | None = None, thresholds: dict[str, dict[str, float]] | None = None, window: tuple[int | None, int | None] = (None, None), events_table: str = "quality.drift_events", baseline_table: str = "quality.drift_baseline_metrics") -> dict[str, Any]:
     """Compares with the dataset's latest stored profile, writes events, and always stores the new profile."""
     spark = df.sparkSession

@@ -448,6 +448,23 @@ def drift_events(spark: SparkSession, d: str) -> DataFrame:
     return found.select("metric_name", *[F.round(c, 6).alias(c) for c in ("baseline_value", "observed_value", "delta_ratio")], "severity")
 
 
+WEEKS = """w AS (SELECT event_type AS dataset, CAST(date_trunc('week', ts) AS DATE) AS run_ts, CAST(count(*) AS DOUBLE) AS v, avg(value) AS a FROM events GROUP BY 1, 2),
+  m AS (SELECT dataset, run_ts, 'volume_ratio' AS metric_name, v AS x FROM w UNION ALL SELECT dataset, run_ts, 'avg_fare_amount_ratio', a FROM w),
+  c AS (SELECT n.dataset, n.metric_name, n.run_ts, o.x AS b, n.x AS c, abs(n.x - o.x) / abs(o.x) AS r FROM m n JOIN m o ON n.dataset = o.dataset AND n.metric_name = o.metric_name AND n.run_ts = o.run_ts + 7)"""
+
+
+@query(f"WITH {WEEKS} SELECT dataset, metric_name, CASE WHEN r >= 0.2 THEN 'error' ELSE 'warn' END AS severity, run_ts, round(r, 6) AS delta_ratio, round(b, 6) AS baseline_value, round(c, 6) AS observed_value FROM c WHERE r >= 0.1 ORDER BY run_ts DESC, severity DESC, dataset, metric_name")
+def drift_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Each week of an event type against the week before, as the listing of drift events."""
+    week = F.date_trunc("week", F.col("ts").cast("timestamp")).cast("date")
+    weeks = table(spark, d, "events").groupBy(F.col("event_type").alias("dataset"), week.alias("run_ts")).agg(F.count("*").cast("double").alias("volume_ratio"), F.avg("value").alias("avg_fare_amount_ratio"))
+    now = weeks.unpivot(["dataset", "run_ts"], list(METRICS), "metric_name", "observed_value")
+    past = now.select("dataset", "metric_name", F.date_add("run_ts", 7).alias("run_ts"), F.col("observed_value").alias("baseline_value"))
+    change = drift.delta(F.col("observed_value"), F.col("baseline_value"))
+    events = now.join(past, ["dataset", "metric_name", "run_ts"]).select("dataset", "metric_name", drift.severity(change, F.lit(0.1), F.lit(0.2)).alias("severity"), "run_ts", F.round(change, 6).alias("delta_ratio"), *[F.round(c, 6).alias(c) for c in ("baseline_value", "observed_value")])
+    return drift.listing(events.filter("severity IS NOT NULL"))
+
+
 @query("SELECT coalesce(event_type, '__null__') AS category, round(count(*) / (SELECT count(*) FROM events), 9) AS share FROM events GROUP BY 1")
 def category_shares(spark: SparkSession, d: str) -> DataFrame:
     return drift.shares(table(spark, d, "events"), "event_type").withColumn("share", F.round("share", 9))
