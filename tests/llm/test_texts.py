@@ -144,6 +144,18 @@ def test_edits_of_awkward_rows(small):
     assert Counter(r["doc_id"] for r in sketches.compare_edits(small).collect()) == Counter(r["doc_id"] for r in small.collect())
 
 
+def test_edits_of_many_null_ids(spark):
+    rows = [(None if k % 3 else k, f"text number {k} " * (1 + k % 5)) for k in range(600)] + [(None, None), (None, "text number 1 " * 2), (9, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tied = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).collect()
+    tied.sort(key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["tie"]))
+    want = Counter()
+    for k, r in enumerate(tied):
+        t, following = r["text"], tied[(k + 1) % len(tied)]["text"]
+        want[r["doc_id"], len(t), sha256((t[: len(t) - len(t) // 2] + following[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in sketches.compare_edits(df).select("doc_id", "n_chars", "edited_sha256").collect()) == want
+
+
 def plain_feistel(value, a, b, key, kind):
     x, y = divmod(value, b)
     f = lambda r, v: int(sha256(f"{key}|{kind}|{r}|{v}".encode()).hexdigest()[:15], 16)

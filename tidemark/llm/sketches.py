@@ -76,11 +76,13 @@ def with_next(df: DataFrame, id_col: str, prepare: Callable[[DataFrame], DataFra
     Rows are dealt to ranges of ids in one shuffle; within a range a window looks ahead, and each range
     also holds the first row of the range below it (one row, found from the ranges' greatest ids), so no
     task sees more than a range. Ranges come from quantiles of the ids, a few for each task. Null
-    ids come last; rows of one id are in order of their text columns' hash.
+    ids come last, in order of the hash of their row's other columns, and are dealt to as many ranges of that hash;
+    rows of one id are in order of the hash of `columns`.
     """
     spark = df.sparkSession
     n = BUCKETS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.select(F.percentile_approx(id_col, [k / n for k in range(1, n)], 20 * n).alias("q")).first()["q"] or []
+    seen = df.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 20 * n).alias("q"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
+    cuts = seen["q"] or []
     bounds = F.lit(sorted(set(cuts))).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
     steps = F.lit([1 << k for k in reversed(range(max(1, len(cuts)).bit_length()))])
     held = F.col(id_col)
@@ -88,19 +90,24 @@ def with_next(df: DataFrame, id_col: str, prepare: Callable[[DataFrame], DataFra
     def onward(at: Column, step: Column) -> Column:
         return F.when(at + step > F.size(bounds), at).when(F.get(bounds, at + step - 1) <= held, at + step).otherwise(at)
 
-    bucket = F.when(held.isNull(), -1).otherwise(F.aggregate(steps, F.lit(0), onward))
-    # the greatest id of each range, at most n + 1 rows
-    tops = sorted((r["b"], r["top"]) for r in df.select(bucket.alias("b"), held.alias("i")).groupBy("b").agg(F.max("i").alias("top")).collect())
+    # the texts are only read for this where there are null ids
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != id_col]) if seen["nulls"] else F.lit(0).cast("long")
+    null_range = F.shiftright((F.shiftright(tie, 32) + (1 << 31)) * n, 32).cast("int")
+    bucket = F.when(held.isNull(), -1 - null_range).otherwise(F.aggregate(steps, F.lit(0), onward))
+    # the first row of each range, that of the greatest id or the least hash: at most 2 n rows
+    first = F.max(F.struct(held.alias("i"), F.bitwise_not(tie).alias("r")))
+    tops = sorted((r["b"], r["top"]["i"], ~r["top"]["r"]) for r in df.groupBy(bucket.alias("b")).agg(first.alias("top")).collect())
     if not tops:
         return prepare(df).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    above = [(tops[(k + 1) % len(tops)][0], top) for k, (_, top) in enumerate(tops)]
-    pairs = [F.struct(F.lit(to).cast("int").alias("to_bucket"), F.lit(top).cast("long").alias("top")) for to, top in above]
-    ghosts = spark.range(1).select(F.inline(F.array(*pairs)))
-    own = df.withColumns({"__bucket": bucket, "__ghost": F.lit(False)})
-    sent = df.join(F.broadcast(ghosts), held.eqNullSafe(ghosts["top"])).withColumns({"__bucket": F.col("to_bucket"), "__ghost": F.lit(True)}).drop("to_bucket", "top")
-    order = Window.partitionBy("__bucket").orderBy("__ghost", F.col(id_col).desc_nulls_last(), F.xxhash64(*columns))
+    above = [(tops[(k + 1) % len(tops)][0], *top) for k, (_, *top) in enumerate(tops)]
+    kinds = {"to_bucket": "int", "top": "long", "top_tie": "long"}
+    ghosts = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).cast(kind).alias(c) for x, (c, kind) in zip(row, kinds.items(), strict=True)]) for row in above])))
+    own = df.withColumns({"__bucket": bucket, "__ghost": F.lit(False), "__tie": tie})
+    sent = df.withColumn("__tie", tie).join(F.broadcast(ghosts), held.eqNullSafe(ghosts["top"]) & (F.col("__tie") == ghosts["top_tie"]))
+    sent = sent.withColumns({"__bucket": F.col("to_bucket"), "__ghost": F.lit(True)}).drop(*kinds)
+    order = Window.partitionBy("__bucket").orderBy("__ghost", F.col(id_col).desc_nulls_last(), "__tie", F.xxhash64(*columns))
     looked = prepare(own.unionByName(sent)).withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return looked.filter("NOT __ghost").drop("__bucket", "__ghost")
+    return looked.filter("NOT __ghost").drop("__bucket", "__ghost", "__tie")
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
