@@ -95,7 +95,9 @@ def with_next(df: DataFrame, id_col: str, prepare: Callable[[DataFrame], DataFra
     null_range = F.shiftright((F.shiftright(tie, 32) + (1 << 31)) * n, 32).cast("int")
     bucket = F.when(held.isNull(), -1 - null_range).otherwise(F.aggregate(steps, F.lit(0), onward))
     # the first row of each range, that of the greatest id or the least hash: at most 2 n rows
-    first = F.max(F.struct(held.alias("i"), F.bitwise_not(tie).alias("r")))
+    pair = F.struct(held.alias("i"), F.bitwise_not(tie).alias("r"))
+    # a greatest struct needs sorted rows, so it is only taken where there are null ids
+    first = F.max(pair) if seen["nulls"] else F.struct(F.max(held).alias("i"), F.lit(-1).cast("long").alias("r"))
     tops = sorted((r["b"], r["top"]["i"], ~r["top"]["r"]) for r in df.groupBy(bucket.alias("b")).agg(first.alias("top")).collect())
     if not tops:
         return prepare(df).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
