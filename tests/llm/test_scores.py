@@ -182,3 +182,19 @@ def test_queries_with_sql(spark):
     con = connect(SF)
     for name, sql in queries.oracle_sql().items():
         assert rows_of_frame(queries.queries()[name](spark, SF)) == rows_of_sql(con, sql)
+
+
+def test_model_keeps_rare_pairs_of_a_large_corpus(spark):
+    """Over 2^22 training tokens: a pair and words seen once still count."""
+    held = next(k for k in range(10_000, 20_000) if zlib.crc32(str(k).encode()) % 7 == 2)
+    train = next(k for k in range(10_000, 20_000) if zlib.crc32(str(k).encode()) % 7 != 2)
+    bulk = spark.range(2600).selectExpr("id AS doc_id", "repeat('a b ', 1000) AS text")
+    own = spark.createDataFrame([(train, "rareone raretwo"), (held, "rareone raretwo")], "doc_id long, text string")
+    row = lm.score(bulk.unionByName(own)).filter(f"doc_id = {held}").first()
+    n = row["train_tokens"]
+    assert n > 1 << 22 and row["n_known"] == 3
+    texts = sum(zlib.crc32(str(k).encode()) % 7 != 2 for k in range(2600)) + 1
+    whole = n + 5 + 1
+    left = lambda kinds, c: lm.DISCOUNT * kinds / c
+    want = math.log10(0.25 / texts + left(2, texts) * 2 / whole) + math.log10(0.25 + left(1, 1) * 2 / whole) + math.log10(0.25 + left(1, 1) * (texts + 1) / whole)
+    assert row["score"] == pytest.approx(want, rel=0.01)

@@ -1,22 +1,18 @@
 """N-gram scores from a log-frequency Bloom filter.
 
-Model. P(w|h) = (c(h,w) - D) / c(h) + b(h) P(w), the first part for pairs that are kept, with
-P(w) = (c(w) + 1) / (N + V + 1) and b(h) the probability that discounting and pruning leave over for
+Model. P(w|h) = (c(h,w) - D) / c(h) + b(h) P(w), the first part for pairs of the training texts, with
+P(w) = (c(w) + 1) / (N + V + 1) and b(h) the probability that discounting leaves over for
 history h. A text is its words and one end; the end also stands before the first word.
 
-Store. Counts are quantised on a log scale: level j stands for counts from m r^(j-1) up to m r^j. A key
-with level q is entered in the filter at levels 1 to q, and a reader probes levels upwards until one
-misses. Words, pairs and left-over probabilities (on their own scale) are all in the one filter.
+Store. Every training pair is in the filter, whatever its count and whatever the size of the corpus. Counts are quantised
+on a log scale: level j stands for counts from r^(j-1) up to r^j. A key with level q is entered in the filter at
+levels 1 to q, and a reader probes levels upwards until one misses. Words have their exact counts and b(h) beside it.
 
-Bound. Words and pairs are kept if they make up at least `SHARE` of the training tokens: m =
-ceil(N * SHARE), the same rule at every size. At most 1 / SHARE keys of a kind can reach it, and at
-most r^(1-j) / SHARE of them level j, so the filter has at most 1 / SHARE * r / (r - 1) entries for words, as
-many for pairs and MAX_WEIGHT_LEVEL / SHARE for weights, whatever the corpus; it is this bound that
-allows it to be broadcast. A pair can only reach m if both its words do, so pairs with a rarer word
-are left out before the shuffle. All documents are counted and scored whole.
-
-Base figures are exact: words that make up at least `HOT` of the training tokens (1 / HOT at most) are
-broadcast, all rarer ones meet their count in a join, where none has more than that share of the rows.
+Scale. The filter grows with the corpus, so it is never put together: its segments stay apart, and what a slice of
+the texts (about `SLICE` tokens) asks goes to the segments in one row each, distinct words and pairs only, and the
+answers come back to the slice. A segment has a fixed size, a slice asks no segment the same twice, and nothing is
+broadcast. All documents are counted and scored whole. Words and pairs are known by
+hashes (a pair by 32 bits of each word; within its segment a word by 48 bits, a pair by 40).
 
 Nulls: a null text is empty (one end, no words); a null id is treated as the empty string by the split
 and comes back null. Repeated rows are counted and scored each for itself. An empty table gives no
@@ -27,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -39,12 +35,15 @@ from tidemark.llm.common import cut, pick, ship, slices, utf8
 
 #: No word holds white space, so this can stand for the end.
 END = b"\n"
-SHARE, HOT = 2.0**-22, 1e-6
-RATIO, WEIGHT_RATIO, MAX_WEIGHT_LEVEL, DISCOUNT = 1.25, 1.15, 48, 0.75
+RATIO, DISCOUNT = 1.25, 0.75
 BITS_PER_ENTRY, PROBES, SEGMENT_BITS = 12, 6, 1 << 19
-WORD, PAIR, WEIGHT = range(3)
+WORD, PAIR = range(2)
 #: Entries that a worker counts or keeps before it passes them on or starts afresh.
 TABLE_ENTRIES, VOCABULARY, PAIR_KEYS = 500_000, 600_000, 4_000_000
+#: Tokens of a slice whose questions go out together.
+SLICE = 1_000_000
+#: Bytes of a base that are told apart within a segment.
+WORD_BYTES, PAIR_BYTES = 6, 5
 SEED = 42
 GOLD = 0x9E3779B97F4A7C15
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -87,10 +86,12 @@ class LogFrequencyFilter:
 
     def levels(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """The level of each key, 0 where it isn't kept, by probing upwards."""
-        out = np.zeros(len(keys), np.int64)
-        base, home = self.home(keys, kind)
+        return self.levels_of(*self.home(keys, kind))
+
+    def levels_of(self, base: np.ndarray, home: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(base), np.int64)
         first = home * np.uint64(SEGMENT_BITS)
-        live, level = np.arange(len(keys)), 1
+        live, level = np.arange(len(base)), 1
         while len(live):
             own = live
             for k, p in enumerate(self.places(base[live], level)):
@@ -112,90 +113,48 @@ def level_counts(least: int, top: int = 200) -> np.ndarray:
     return np.concatenate([[0.0], (low + high) / 2])
 
 
-def level_weights() -> np.ndarray:
-    """The left-over probability that each level stands for; all of it at level 0."""
-    return np.concatenate([[1.0], WEIGHT_RATIO ** -(np.arange(MAX_WEIGHT_LEVEL + 1) + 0.5)])
-
-
-def _level(count: Column, least: int) -> Column:
-    return F.lit(1) + F.floor(F.log(count / F.lit(float(least))) / math.log(RATIO) + 1e-9).cast("int")
-
-
-def build(entries: DataFrame) -> LogFrequencyFilter:
-    """The filter of rows (key long, kind int, level int), made in parts by segment and put together on the driver."""
-    total = entries.agg(F.sum("level")).first()[0] or 0
-    shell = LogFrequencyFilter(max(1, -(-total * BITS_PER_ENTRY // SEGMENT_BITS)))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, kinds = b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy()
-            base, home = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
-            for kind in (WORD, PAIR, WEIGHT):
-                own = kinds == kind
-                base[own], home[own] = shell.home(keys[own], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(base.astype(np.int64)), b.column(2)], names=["home", "base", "level"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        home, base, level = (np.concatenate([b.column(k).to_numpy() for b in found]) for k in range(3))
-        order = np.argsort(home, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-            bits = shell.segment(base[own].astype(np.uint64), level[own])
-            yield pa.RecordBatch.from_arrays([pa.array(home[own[:1]]), pa.array([bits.tobytes()], pa.binary())], names=["home", "bits"])
-
-    dealt = entries.select("key", "kind", "level").mapInArrow(deal, "home int, base long, level int").repartition("home")
-    bits = np.zeros((shell.segments, SEGMENT_BITS // 8), np.uint8)
-    for home, part in zip(*(c.to_pylist() for c in dealt.mapInArrow(fill, "home int, bits binary").toArrow().columns), strict=True):
-        bits[home] = np.frombuffer(part, np.uint8)
-    return LogFrequencyFilter(shell.segments, bits.reshape(-1))
+def _level(count: Column) -> Column:
+    return F.lit(1) + F.floor(F.log(count.cast("double")) / math.log(RATIO) + 1e-9).cast("int")
 
 
 class Vocabulary(dict):
-    """Numbers the words that a worker meets, with their hashes and what the filter knows of them."""
+    """Numbers the words that a worker meets, with their hashes."""
 
-    def __init__(self, store: LogFrequencyFilter, weights: bool):
-        self.store, self.weights = store, weights
+    def __init__(self):
         self.fresh()
 
     def fresh(self) -> None:
         self.clear()
         self.new: list[bytes] = []
-        self.words: list[bytes] = []
-        self.hash, self.level, self.weight = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hash = np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.words)
-        self.words.append(word)
+        self[word] = n = len(self)
         self.new.append(word)
         return n
 
     def number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(word numbers of all texts, an end before the first and one after each; tokens of each text)."""
-        if len(self) > VOCABULARY:
-            self.fresh()
+        """(word numbers of all texts, an end after each; tokens of each text). The end is number 0."""
+        if not self:
+            self[END]  # noqa: B018
         split = [t.lower().split() for t in texts]
         sizes = np.array([len(x) + 1 for x in split], np.int64)
         for x in split:
             x.append(END)
-        flat = np.fromiter(map(self.__getitem__, chain([END], *split)), np.int64, int(sizes.sum()) + 1)
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
         if self.new:
             from xxhash import xxh64_intdigest
 
             h = np.fromiter((xxh64_intdigest(w, SEED) for w in self.new), np.uint64, len(self.new))
             self.hash = np.concatenate([self.hash, h])
-            self.level = np.concatenate([self.level, self.store.levels(h, WORD)])
-            if self.weights:
-                self.weight = np.concatenate([self.weight, self.store.levels(h & HIGH, WEIGHT)])
             self.new = []
         return flat, sizes
 
-    def pairs(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which neighbours are both kept words, the keys of these pairs)."""
-        before, after = flat[:-1], flat[1:]
-        both = np.flatnonzero((self.level[before] > 0) & (self.level[after] > 0))
-        return both, (self.hash[before[both]] & HIGH) | (self.hash[after[both]] & LOW)
+
+def pair_keys(hashes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The key of each word with the one before it; an end stands before the first."""
+    before = np.concatenate([np.zeros(1, flat.dtype), flat[:-1]])
+    return (hashes[before] & HIGH) | (hashes[flat] & LOW)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -223,19 +182,21 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def count_pairs(rows: DataFrame, words: LogFrequencyFilter, least: int) -> DataFrame:
-    """(key, n) of the pairs that occur at least `least` times."""
-    store = rows.sparkSession.sparkContext.broadcast(words)
+def count_pairs(rows: DataFrame) -> DataFrame:
+    """(key, n) of all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = Vocabulary(store.value, False), [], 0
+        known, held, size = Vocabulary(), [], 0
 
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int32))], names=["key", "n"])
 
         for b in slices(batches):
-            keys = known.pairs(known.number(utf8(b.column(0)))[0])[1]
+            if len(known) > VOCABULARY:
+                known.fresh()
+            flat = known.number(utf8(b.column(0)))[0]
+            keys = pair_keys(known.hash, flat)
             held.append(keys)
             size += len(keys)
             if size > PAIR_KEYS:
@@ -244,8 +205,105 @@ def count_pairs(rows: DataFrame, words: LogFrequencyFilter, least: int) -> DataF
         if held:
             yield out()
 
-    pairs = rows.select("text").mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
-    return pairs.filter(F.col("n") >= least)
+    return rows.select("text").mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def entries_of(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, kind, n, left): every word with its count and the probability that discounting leaves over after it, every pair with its level."""
+    hashed = words.select(F.xxhash64("token").alias("key"), "n")
+    histories = hashed.groupBy(F.shiftright("key", 32).alias("h")).agg(F.sum("n").alias("m"))
+    followers = pairs.groupBy(F.shiftright("key", 32).alias("k")).agg(F.count("*").alias("kinds"))
+    left = followers.join(histories, followers["k"] == histories["h"]).select("h", (F.col("kinds") * DISCOUNT / F.col("m")).alias("left"))
+    of_words = hashed.join(left, F.shiftright(hashed["key"], 32) == left["h"], "left").select("key", F.lit(WORD).alias("kind"), "n", F.coalesce("left", F.lit(1.0)).alias("left"))
+    return of_words.unionByName(pairs.select("key", F.lit(PAIR).alias("kind"), _level(F.col("n")).cast("long").alias("n"), F.lit(0.0).alias("left")))
+
+
+def packed(base: np.ndarray, size: int) -> bytes:
+    """The low bytes of each base."""
+    return base.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.view("<u8").reshape(-1)
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def parted(home: np.ndarray, homes: np.ndarray, x: np.ndarray, write: Callable[[np.ndarray], bytes]) -> pa.Array:
+    """For each of homes, what is written of x there; x is in order of home."""
+    first, last = (np.searchsorted(home, homes, side).tolist() for side in ("left", "right"))
+    return pa.array([write(x[f:t]) for f, t in zip(first, last, strict=True)], pa.binary())
+
+
+def deal(entries: DataFrame, shell: LogFrequencyFilter) -> DataFrame:
+    """Entries by home: (home, words, counts, left, pairs, levels), many in a row."""
+    names = ["home", "words", "counts", "left", "pairs", "levels"]
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys, kinds, n, left = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(4))
+        sets = []
+        for kind in (WORD, PAIR):
+            own = np.flatnonzero(kinds == kind)
+            base, home = shell.home(keys[own].view(np.uint64), kind)
+            order = np.argsort(home, kind="stable")
+            sets.append((home[order].astype(np.int64), base[order], own[order]))
+        (word_home, words, w), (pair_home, pairs, p) = sets
+        homes = np.unique(np.concatenate([word_home, pair_home]))
+        columns = [
+            parted(word_home, homes, words, lambda x: packed(x, WORD_BYTES)),
+            parted(word_home, homes, n[w], np.ndarray.tobytes),
+            parted(word_home, homes, left[w].astype(np.float32), np.ndarray.tobytes),
+            parted(pair_home, homes, pairs, lambda x: packed(x, PAIR_BYTES)),
+            parted(pair_home, homes, n[p].astype(np.uint8), np.ndarray.tobytes),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(homes.astype(np.int32)), *columns], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size > SLICE:
+                yield out(held)
+                held, size = [], 0
+        if size:
+            yield out(held)
+
+    return entries.select("key", "kind", "n", "left").mapInArrow(run, "home int, words binary, counts binary, left binary, pairs binary, levels binary")
+
+
+def questions(shell: LogFrequencyFilter, hashes: np.ndarray, flat: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """(for words and for distinct pairs: bases and homes in order of homes, and that order; the distinct pair at each place)."""
+    distinct, back = np.unique(pair_keys(hashes, flat), return_inverse=True)
+    out = []
+    for keys, kind in ((hashes, WORD), (distinct, PAIR)):
+        base, home = shell.home(keys, kind)
+        order = np.argsort(home, kind="stable")
+        out.append((base[order], home[order].astype(np.int64), order))
+    return out, back
+
+
+def answer(words: np.ndarray, counts: np.ndarray, left: np.ndarray, bits: np.ndarray, bases: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, bytes, bytes]:
+    """What a segment knows of the words and pairs asked: counts, left-over probabilities, levels."""
+    n, rest = np.zeros(len(bases[0]), np.int64), np.ones(len(bases[0]), np.float32)
+    if len(words) and len(n):
+        at = np.minimum(np.searchsorted(words, bases[0]), len(words) - 1)
+        met = words[at] == bases[0]
+        n, rest = np.where(met, counts[at], 0), np.where(met, left[at], np.float32(1))
+    levels = LogFrequencyFilter(1, bits).levels_of(bases[1], np.zeros(len(bases[1]), np.uint64))
+    return squeezed(n), squeezed(rest), squeezed(levels.astype(np.uint8))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,81 +313,83 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = pick(docs, doc_id=id_col, text=text_col)
     training = rows.filter(~held_out(F.col("doc_id")))
 
-    # exact counts of all training words
     words = cut(count_words(training).filter("n > 0"))
     size = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, types = size["n"] or 0, size["v"]
-    least = max(1, math.ceil(total * SHARE))
-
-    # the filter: first the words alone, which prune the pairs, then all
-    word_entries = words.filter(F.col("n") >= least).select(F.xxhash64("token").alias("key"), F.lit(WORD).alias("kind"), _level(F.col("n"), least).alias("level"))
-    pairs = cut(count_pairs(training, build(word_entries), least))
-    pair_entries = pairs.select("key", F.lit(PAIR).alias("kind"), _level(F.col("n"), least).alias("level"))
-    histories = words.filter(F.col("n") >= least).groupBy(F.shiftright(F.xxhash64("token"), 32).alias("h")).agg(F.sum("n").alias("n"))
-    masses = pairs.groupBy(F.shiftright("key", 32).alias("k")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
-    left = F.greatest(F.lit(1.0) - F.col("mass") / F.col("n"), F.lit(WEIGHT_RATIO ** -(MAX_WEIGHT_LEVEL - 1.0)))
-    weight_level = F.lit(1) + F.floor(-F.log(left) / math.log(WEIGHT_RATIO)).cast("int")
-    weight_entries = masses.join(histories, masses["k"] == histories["h"]).select(F.shiftleft("h", 32).alias("key"), F.lit(WEIGHT).alias("kind"), F.least(weight_level, F.lit(MAX_WEIGHT_LEVEL)).alias("level"))
-    store = spark.sparkContext.broadcast(build(cut(word_entries.unionByName(pair_entries).unionByName(weight_entries))))
-
-    # frequent words by broadcast (1 / HOT rows at most), the rest by join
-    hot_from = max(1, math.ceil(total * HOT))
-    hot = words.filter(F.col("n") >= hot_from).toArrow()
-    frequent = spark.sparkContext.broadcast(dict(zip(hot["token"].to_pylist(), hot["n"].to_pylist(), strict=True)))
+    pairs = cut(count_pairs(training))
+    entered = pairs.agg(F.sum(_level(F.col("n")))).first()[0] or 0
+    shell = LogFrequencyFilter(max(1, -(-entered * BITS_PER_ENTRY // SEGMENT_BITS)))
     whole = total + types + 1
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"home int, slice long, of int, ids array<{id_type}>, a binary, b binary, c binary"
+    names = ["home", "slice", "of", "ids", "a", "b", "c"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A slice's texts in one row (of -1), sent by way of any segment, and its questions to each segment in one row each."""
         from pyspark import TaskContext
 
-        known, counts, weights, often = Vocabulary(store.value, True), level_counts(least), level_weights(), frequent.value
-        exact, row = np.zeros(0, np.int64), TaskContext.get().partitionId() << 40
+        known, held, size, number = Vocabulary(), [], 0, TaskContext.get().partitionId() << 32
+
+        def out() -> Iterator[pa.RecordBatch]:
+            flat, sizes = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+            ids = pa.concat_arrays([x[0] for x in held])
+            kinds, _ = questions(shell, known.hash, flat)
+            homes = np.unique(np.concatenate([k[1] for k in kinds]))
+            via = int(mix(np.array([number], np.uint64))[0] % np.uint64(shell.segments))
+            text_row = [pa.array([via], pa.int32()), pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+            yield pa.RecordBatch.from_arrays(text_row + [pa.array([squeezed(x)], pa.binary()) for x in (flat, sizes, known.hash)], names=names)
+            blobs = [parted(home, homes, base, lambda x, size=size: packed(x, size)) for (base, home, _), size in zip(kinds, (WORD_BYTES, PAIR_BYTES), strict=True)]
+            n = len(homes)
+            home = pa.array(homes.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([home, pa.array(np.full(n, number)), home, pa.nulls(n, text_row[3].type), *blobs, pa.nulls(n, pa.binary())], names=names)
+
         for b in slices(batches):
             flat, sizes = known.number(utf8(b.column(1)))
-            if len(exact) > len(known.words):  # the vocabulary started afresh
-                exact = exact[:0]
-            exact = np.concatenate([exact, np.array([often.get(w, 0) for w in known.words[len(exact) :]], np.int64)])
-            before, after = flat[:-1], flat[1:]
-            starts = np.cumsum(sizes) - sizes
-
-            word_count = counts[known.level]
-            p = (word_count[after] + 1.0) / whole * weights[known.weight[before]]
-            both, keys = known.pairs(flat)
-            distinct, back = np.unique(keys, return_inverse=True)
-            found = counts[known.store.levels(distinct, PAIR)][back]
-            p[both] += np.where(found > 0, np.maximum(found - DISCOUNT, 0.0) / word_count[before[both]], 0.0)
-            scores = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
-
-            c = exact[after]
-            base = np.add.reduceat(np.where(c > 0, np.log10((c + 1.0) / whole), 0.0), starts)
-            n_known = np.add.reduceat((c > 0).astype(np.int64), starts)
-            rows_ = row + np.arange(len(sizes))
-            row += len(sizes)
-            # what is left to the join: a text's rarer words, once each
-            rare = np.flatnonzero(c == 0)
-            owner = np.repeat(np.arange(len(sizes)), sizes)[rare]
-            once, times = np.unique(owner.astype(np.int64) << 32 | after[rare], return_counts=True)
-            words_ = known.words
-            n, m = len(sizes), len(once)
-            # a text's own row carries a token that no word can be, apart for each row
-            tokens = [b" %d" % r for r in rows_.tolist()] + [words_[k] for k in (once & 0xFFFFFFFF).tolist()]
-            none, zero = pa.nulls(m, b.column(0).type), np.zeros(m, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([rows_, rows_[once >> 32]])), pa.array(tokens, pa.binary()), pa.array(np.concatenate([np.zeros(n, np.int64), times]))]
-                + [pa.concat_arrays([b.column(0), none])]
-                + [pa.array(np.concatenate([x, zero.astype(x.dtype)])) for x in (sizes, n_known, base, scores)],
-                names=["row", "token", "times", "doc_id", "n_tokens", "n_known", "base", "score"],
-            )
-
-    parts = rows.mapInArrow(run, f"row long, token binary, times long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
-    rarer = words.filter(F.col("n") < hot_from).select(F.col("token").alias("t"), F.col("n").alias("c"))
-    met = parts.join(rarer, parts["token"] == rarer["t"], "left")
-    c = F.coalesce("c", F.lit(0))
-    figures = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("times") * F.log10((c + 1) / F.lit(float(whole)))).alias("base_score"),
-        F.sum("score").alias("score"),
-    )
+            held.append((b.column(0), flat, sizes))
+            size += len(flat)
+            if size > SLICE:
+                yield from out()
+                known.fresh()
+                held, size, number = [], 0, number + 1
+        if held:
+            yield from out()
+
+    def meet(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        """The answers of one segment; texts pass on as they are."""
+        words_, n, left, pairs_, levels = (b"".join(held[k].to_pylist()) for k in ("words", "counts", "left", "pairs", "levels"))
+        base = unpacked(words_, WORD_BYTES)
+        order = np.argsort(base)
+        known = (base[order], np.frombuffer(n, np.int64)[order], np.frombuffer(left, np.float32)[order])
+        bits = LogFrequencyFilter(1).segment(unpacked(pairs_, PAIR_BYTES), np.frombuffer(levels, np.uint8))
+        a, b, c = [], [], []
+        for of, x, y, z in zip(*(asked[k].to_pylist() for k in ("of", "a", "b", "c")), strict=True):
+            x, y, z = (x, y, z) if of < 0 else answer(*known, bits, (unpacked(x, WORD_BYTES), unpacked(y, PAIR_BYTES)))
+            a.append(x), b.append(y), c.append(z)
+        return pa.table([*(asked[k] for k in names[:4]), *(pa.array(x, pa.binary()) for x in (a, b, c))], names=names)
+
+    def finish(key: tuple, rows_: pa.Table) -> pa.Table:
+        """The figures of a slice's texts from all its answers."""
+        of = rows_["of"].to_numpy()
+        order = np.argsort(of).tolist()
+        a, b, c = ([x[k] for k in order] for x in (rows_["a"].to_pylist(), rows_["b"].to_pylist(), rows_["c"].to_pylist()))
+        flat, sizes, hashes = unsqueezed(a[0], np.int32), unsqueezed(b[0], np.int64), unsqueezed(c[0], np.uint64)
+        (by_word, by_pair), back = questions(shell, hashes, flat)
+        n, left, level = np.zeros(len(hashes), np.int64), np.zeros(len(hashes)), np.zeros(len(by_pair[2]), np.uint8)
+        n[by_word[2]], left[by_word[2]] = (np.concatenate([unsqueezed(x, kind) for x in blobs]) for blobs, kind in ((a[1:], np.int64), (b[1:], np.float32)))
+        level[by_pair[2]] = np.concatenate([unsqueezed(x, np.uint8) for x in c[1:]])
+        before = np.concatenate([np.zeros(1, flat.dtype), flat[:-1]])
+        found = level_counts(1)[level][back]
+        plain = (n[flat] + 1.0) / whole
+        # a pair that the filter claims of a history never seen is none
+        seen = np.where((found > 0) & (n[before] > 0), np.maximum(found - DISCOUNT, 0.0) / np.maximum(n[before], 1), 0.0)
+        starts = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x, starts) for x in ((n[flat] > 0).astype(np.int64), np.log10(plain), np.log10(np.minimum(seen + left[before] * plain, 1.0)))]
+        at = order[0]
+        ids = rows_["ids"].slice(at, 1).combine_chunks()
+        ids = (ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids).flatten()
+        return pa.table([ids, *map(pa.array, (sizes, *sums))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = rows.mapInArrow(ask, schema)
+    met = asked.groupBy("home").cogroup(deal(entries_of(words, pairs), shell).groupBy("home")).applyInArrow(meet, schema)
+    figures = met.groupBy("slice").applyInArrow(finish, f"doc_id {id_type}, n_tokens long, n_known long, base_score double, score double")
     return figures.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
