@@ -250,3 +250,40 @@ def test_pipeline_of_awkward_rows(spark, small):
         step = stage(spark, step, SF)
         assert step.columns == small.columns
     assert corpus_pipeline.STAGES[-1][1](spark, step, SF).count() > 0
+
+
+def shingle_set(text, size=5):
+    w = text.lower().split()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def edited(words, tag, at):
+    out = list(words)
+    for k in at:
+        out[k] = f"{tag}x{k}"
+    return out
+
+
+@pytest.mark.parametrize("n", [45, 250, 1100, 4000])
+def test_all_copies_at_the_threshold_go(spark, n):
+    """Pairs just above a similarity of 0.8 are links, those just below are none, at any length."""
+    rows = []
+    for k in range(20):
+        base = [f"w{k}x{j}" for j in range(n)]
+        shingles = n - 4
+        rows.append(" ".join(base))
+        # a copy without its last tenth or so: everything it has is in the base
+        keep = math.ceil(0.81 * shingles) if k % 2 else math.floor(0.78 * shingles)
+        rows.append(" ".join(base[: keep + 4]))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"] for r in simhash.one_of_each(df).select("doc_id").collect()}
+    sure = {d for d in range(1, 40, 4) if (plain_print(rows[d]) ^ plain_print(rows[d - 1])).bit_count() > 2}
+    assert all(jaccard(rows[d], rows[d - 1]) < 0.8 for d in sure)
+    assert all(d - 1 in found and d not in found for d in range(3, 40, 4)) and sure <= found and set(range(0, 40, 2)) <= found
+
+

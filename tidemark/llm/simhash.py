@@ -9,11 +9,10 @@ segments of one bit: the same join on the fingerprint and its 64 one-bit neighbo
 cell already proves a distance of 2 or less, so links to a cell's smallest member suffice and a
 cell holds 65 members at most. Neither all pairs of a group nor a large cell is ever built.
 
-Texts that differ in a few words may lie further apart than two bits. `similar` finds those whose sets of
-five-word shingles have a similarity of 0.8 or more: it deals a text's shingles by their hash to parts
-of a few each and takes the SimHash of every part. Edits change only the parts that hold an edited shingle, so
-near copies share whole part fingerprints; each part fingerprint points its texts to one of them,
-and a pair is a link if enough of its parts agree. `one_of_each` joins both kinds of links.
+Texts that differ in a few words may lie further apart than two bits. `similar` links those whose sets of
+five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a band of `ROWS` minimum hashes over the whole set;
+with `BANDS` bands, a pair at 0.8 is missed with a chance of 3 in a million. Each candidate is verified on the
+whole sets (shingles by 40 bits of their hashes). `one_of_each` joins both kinds of links.
 
 Components are taken over distinct fingerprints; documents with one fingerprint share its row.
 
@@ -130,18 +129,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(table, prints["fp"] == table["k"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Shingles in a part on average, parts of a text that are compared, and the least share of them that agrees.
-#: A copy with similarity 0.8 keeps 8 of 9 shingles and has 1 in 9 new ones, so a part of 6 agrees with a chance of (8/9)^12,
-#: about 0.24; with similarity 0.7 it is 0.1, with 0.6 it is 0.03.
-PART, PARTS, AGREE = 6, 64, 0.25
+#: Minimum hashes in a band, and bands; (1 - 0.8^5)^32 is 3e-6.
+ROWS, BANDS = 5, 32
+#: Bytes of a shingle's hash in a set.
+SET_BYTES = 5
+#: All pairs of a band of so many texts are taken at once.
+FEW = 4
 
 
-def parts_of(texts: list[bytes], size: int) -> list[list[int]]:
-    """Part fingerprints of each text, as signed numbers that also tell the part and how many parts there are.
-
-    The number of parts is the power of two that the shingles fill with 4 to 8 each; texts just above such a step are
-    also dealt to half as many, where those just below meet them.
-    """
+def sets_of(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, in order."""
     from xxhash import xxh64_intdigest
 
     out = []
@@ -149,48 +146,95 @@ def parts_of(texts: list[bytes], size: int) -> list[list[int]]:
         words = text.lower().split()
         shingles = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
         h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
-        h.sort()
-        found: list[int] = []
-        many = max(1, len(h) * 2 // (PART * 2 - 4))
-        power = 1 << (many.bit_length() - 1)
-        for count in (power, power // 2) if 1 < power and many < 1.4 * power else (power,):
-            part = (h >> np.uint64(32)).astype(np.int64) & (count - 1)
-            own = h[part < PARTS]
-            part = part[part < PARTS]
-            order = np.argsort(part, kind="stable")
-            own, part = own[order], part[order]
-            if not len(own):
-                continue
-            starts = np.flatnonzero(np.diff(part, prepend=-1))
-            sizes = np.diff(np.append(starts, len(part)))
-            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            over = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > sizes[:, None]
-            prints = np.packbits(over, axis=1, bitorder="little").view("<u8").reshape(-1)
-            # parts of one or two shingles say little about the text, unless it has no more
-            telling = (sizes > 2) | (count == 1)
-            prints, part = prints[telling], part[starts][telling]
-            tag = np.frombuffer(b"".join(xxh64_intdigest(f"{count}/{p}".encode(), SEED).to_bytes(8, "little") for p in part.tolist()), "<u8") if len(part) else np.zeros(0, np.uint64)
-            found += (prints.astype(np.uint64) ^ tag).astype(np.int64).tolist()
-        out.append(found)
+        out.append(np.unique(h & np.uint64((1 << 8 * SET_BYTES) - 1)))
+    return out
+
+
+def bands_of(sets: list[np.ndarray]) -> list[list[int]]:
+    """The bands of each set, as signed numbers that also tell which band it is; none for an empty set."""
+    some = [k for k, h in enumerate(sets) if len(h)]
+    out: list[list[int]] = [[] for _ in sets]
+    if not some:
+        return out
+    rng = np.random.default_rng(SEED)
+    xor, times = rng.integers(0, 1 << 32, (2, ROWS * BANDS), np.uint32)
+    h = np.concatenate([sets[k] for k in some])
+    h = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    sizes = np.array([len(sets[k]) for k in some])
+    starts = np.cumsum(sizes) - sizes
+    key = np.zeros((len(some), BANDS), np.uint64)
+    for k in range(ROWS * BANDS):
+        x = (h ^ xor[k]) * (times[k] | np.uint32(1))
+        x ^= x >> np.uint32(15)
+        least = np.minimum.reduceat(x * np.uint32(0x2C1B3C6D), starts).astype(np.uint64)
+        band = k // ROWS
+        key[:, band] = (key[:, band] ^ (least + np.uint64(band + 1))) * np.uint64(0x9E3779B97F4A7C15)
+        key[:, band] ^= key[:, band] >> np.uint64(29)
+    for k, row in zip(some, key.astype(np.int64).tolist(), strict=True):
+        out[k] = row
     return out
 
 
-def similar(dealt: DataFrame) -> DataFrame:
-    """(a, b): links among the ids of rows (id, part), each id's distinct part fingerprints.
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, ok) of pairs (a, b): whether the Jaccard similarity of their whole sets (id, shingles) is 0.8 or more."""
+    one, other = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("a", "b"))
+    met = pairs.join(one, "a").join(other, "b").select("a", "b", "of_a", "of_b")
+
+    def wide(data: bytes) -> np.ndarray:
+        out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+        out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
+        return out.view("<u8").reshape(-1)
 
-    Each shared part fingerprint gives a link from each of its ids to one of them, the one that shares the most
-    parts with any other (a text that others were copied from shares all of its own), so a group of
-    any size costs its own number of rows; a link holds if enough parts of the smaller text agree.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 256):
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(wide(x), wide(y), assume_unique=True))
+                ok.append(5 * both >= 4 * ((len(x) + len(y)) // SET_BYTES - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    return met.mapInArrow(run, "a long, b long, ok boolean")
+
+
+def similar(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that connect just those ids whose sets have a similarity of 0.8 or more and share a band.
+
+    dealt has rows (id, n, part), each id's distinct bands with the size of its set, sets has (id, shingles).
+    In rounds, a band's texts are compared with one of them, the one that shares the most bands, later with four
+    times as many in each round, first those that the fewest texts of the band are linked with; these then leave the
+    band. A band is done when all its texts are linked with each other, over whatever others. So every pair that shares a band is either
+    verified or already linked, while a group of copies costs its own number of rows.
     """
-    sizes = dealt.groupBy("id").agg(F.count("*").alias("n")).withColumnRenamed("id", "k")
-    several = dealt.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1").select("part")
-    shared = cut(dealt.join(several, "part", "left_semi").select("id", "part"))
-    known = shared.groupBy("id").agg(F.count("*").alias("degree")).withColumnRenamed("id", "k")
-    centres = shared.join(known, shared["id"] == known["k"]).groupBy("part").agg(F.max(F.struct("degree", "id")).alias("m")).select(F.col("part").alias("p"), F.col("m.id").alias("a"))
-    met = shared.join(centres, (shared["part"] == centres["p"]) & (shared["id"] != centres["a"])).groupBy("id", "a").agg(F.count("*").alias("agree"))
-    met = cut(met)
-    judged = met.join(sizes, met["id"] == sizes["k"]).select("id", "a", "agree", F.col("n").alias("n_id")).join(sizes, F.col("a") == sizes["k"])
-    return judged.filter(F.col("agree") >= AGREE * F.least("n", "n_id")).select("a", F.col("id").alias("b"))
+    several = dealt.groupBy("part").agg(F.count("*").alias("m")).filter("m > 1").select("part")
+    shared = cut(dealt.join(several, "part", "left_semi").select("id", "n", "part"))
+    known = shared.groupBy("id").agg(F.count("*").alias("degree"))
+    live = cut(shared.join(known, "id").select("id", "n", "part", "degree", F.col("id").alias("label")))
+    held = cut(sets.join(known.select("id"), "id", "left_semi"))
+    found = judged = live.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    centres_each = 1
+    while True:
+        open_ = live.groupBy("part").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("part", "m")
+        live = cut(live.join(open_, "part"))
+        if live.isEmpty():
+            return found
+        few, many = live.filter(F.col("m") <= FEW), live.filter(F.col("m") > FEW)
+        groups = many.groupBy("part", "label").agg(F.count("*").alias("size"))
+        order = Window.partitionBy("part").orderBy("size", F.desc("degree"), "id")
+        ranked = many.join(groups, ["part", "label"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= centres_each)
+        centres = cut(ranked.select("part", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2")))
+        others = few.select("part", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+        met = few.join(others, "part").filter("id < id2").unionByName(many.join(centres, "part").filter("id != id2"))
+        # sizes further apart than that can't have the similarity
+        met = met.filter("label != label2 AND 5 * least(n, n2) >= 4 * greatest(n, n2)").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        fresh = cut(verified(met.join(judged, ["a", "b"], "left_anti"), held))
+        judged = judged.unionByName(fresh.filter("NOT ok").select("a", "b"))
+        found = found.unionByName(fresh.filter("ok").select("a", "b"))
+        live = many.join(centres.select("part", F.col("id2").alias("id")), ["part", "id"], "left_anti").select("id", "n", "part", "degree", "label")
+        if many.isEmpty():
+            return found
+        roots = components(found)
+        live = cut(live.drop("label").join(roots, live["id"] == roots["node"], "left").select("id", "n", "part", "degree", F.coalesce("root", "id").alias("label")))
+        centres_each *= 4
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, part_size: int = 5) -> DataFrame:
@@ -201,15 +245,31 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for b in slices(batches, 256):
             texts = utf8(b.column(1))
             prints = pa.array(fingerprint_of(texts, size).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), prints, pa.array(parts_of(texts, part_size), pa.list_(pa.int64()))], names=["row", "fp", "parts"])
-
-    seen = cut(rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp long, parts array<long>"))
+            sets = sets_of(texts, part_size)
+            blobs = [h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for h in sets]
+            own = np.array([xxh64_intdigest(x, SEED) for x in blobs], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), prints, pa.array(own), pa.array([len(h) for h in sets], pa.int64()), pa.array(bands_of(sets), pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
+                names=["row", "fp", "set", "n", "parts", "shingles"],
+            )
+
+    seen = cut(rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, fp long, set long, n long, parts array<long>, shingles binary"))
     nodes = cut(seen.groupBy("fp").agg(F.min("row").alias("row")))
-    dealt = seen.select(F.col("fp").alias("id"), F.explode("parts").alias("part")).distinct()
-    roots = components(links(nodes.select("fp")).unionByName(similar(dealt)))
+    # texts with one set are one in the search, and all their fingerprints are linked
+    by_set = cut(seen.groupBy("set", "fp").agg(F.first("n").alias("n"), F.first("parts").alias("parts")))
+    first_print = by_set.groupBy("set").agg(F.min("fp").alias("a"))
+    same = by_set.filter("n > 0").join(first_print, "set").filter("fp > a").select("a", F.col("fp").alias("b"))
+    dealt = by_set.select(F.col("set").alias("id"), "n", F.explode("parts").alias("part")).distinct()
+    found = similar(dealt, seen.select(F.col("set").alias("id"), "shingles").dropDuplicates(["id"]))
+    prints = cut(first_print.join(found.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set", "left_semi"))
+    one, other = (prints.select(F.col("set").alias(k), F.col("a").alias(f"fp_{k}")) for k in ("a", "b"))
+    near = found.join(one, "a").join(other, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    roots = components(links(nodes.select("fp")).unionByName(near).unionByName(same))
     by_print = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("row", F.coalesce("root", "fp").alias("root"))
     chosen = by_print.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.id").alias("__id"), F.col("row.text").alias("__text"))
     held = docs.withColumn("__hash", F.xxhash64(text_col))
