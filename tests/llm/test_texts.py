@@ -287,3 +287,17 @@ def test_all_copies_at_the_threshold_go(spark, n):
     assert all(d - 1 in found and d not in found for d in range(3, 40, 4)) and sure <= found and set(range(0, 40, 2)) <= found
 
 
+
+def test_links_beside_a_busier_text(spark):
+    """B and C are copies of each other, but only B of the text that both share most of their parts with."""
+    rows, want = [], set()
+    for k in range(12):
+        a = [f"f{k}x{j}" for j in range(300)]
+        b = edited(a, "b", range(5, 30, 5))  # J(a, b) just above 0.8
+        c = edited(b, "c", range(60, 80, 10))
+        family = [a, b, c] + [edited(a, f"n{m}", [200 + m]) for m in range(6)]
+        assert jaccard(" ".join(a), " ".join(b)) >= 0.8 > jaccard(" ".join(a), " ".join(c)) and jaccard(" ".join(b), " ".join(c)) >= 0.8
+        want.add(len(rows))
+        rows += [" ".join(x) for x in family]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(df).select("doc_id").collect()} == want
