@@ -301,3 +301,13 @@ def test_links_beside_a_busier_text(spark):
         rows += [" ".join(x) for x in family]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.one_of_each(df).select("doc_id").collect()} == want
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    new, plain = replaced(spark, card, card.replace(" ", ""))
+    around = ["{} 12/26", "{} 123", "no 7 {}", "{}-99", "1 2 {} 1", "{} {}"]
+    shapes = [(x, c, n) for x in around for c, n in ((card, new), (card.replace(" ", ""), plain))]
+    for (x, _, n), out in zip(shapes, replaced(spark, *[x.replace("{}", c) for x, c, _ in shapes]), strict=True):
+        assert out == x.replace("{}", n)
+    assert replaced(spark, "1 2 3 4 5 6 7 8 9 10 11 12 13 14") == ["1 2 3 4 5 6 7 8 9 10 11 12 13 14"]

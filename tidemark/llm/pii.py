@@ -7,6 +7,8 @@ keyed hash (SHA-256) of the other:
 
 - payment cards (13 to 19 digits, Luhn): the digits but the last, which is computed anew; so the pseudonym
   is valid too. Digits may be grouped by single blanks or hyphens, which stay.
+  Where other numbers stand beside a card, the longest run of whole groups that is valid counts,
+  if it is unbroken or grouped as cards are (number lists have valid runs by chance).
 - telephone numbers of the North American plan, with +1: area, exchange and line, each in its range. With
   `any_phone`, also numbers of that shape whose area or exchange the plan does not give out (below 200): people write
   such numbers too, and each stays below or above 200, so no number of one kind becomes one of the other.
@@ -40,6 +42,8 @@ PATTERNS = {
     "date": r"(?<![0-9\-])(?:1[89]|2[01])[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
+#: How a card that stands among other numbers is grouped.
+GROUPED = r"^(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5})$"
 #: The same shape with any digits.
 ANY_PHONE = PATTERNS["phone"].replace("[2-9][0-9]{2}", "[0-9]{3}")
 #: Fixed values of the formats.
@@ -135,6 +139,21 @@ def card(value: Column, key: str) -> Column:
     return F.when(valid_card(value), refill(value, F.concat(new, F.pmod(-luhn_sum(new), F.lit(10)).cast("string")))).otherwise(value)
 
 
+def cards(value: Column, key: str) -> Column:
+    """The pseudonym of a card; of a run that is none as a whole, the longest run of its groups that is one, in a
+    card's own grouping, is replaced."""
+    part = F.regexp_extract_all(value, F.lit("[0-9]+[ \\-]?"), 0)
+    size = F.size(part)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(i, size), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    text = lambda r: F.regexp_replace(F.array_join(F.slice(part, r["i"], r["j"] - r["i"] + 1), ""), "[ \\-]$", "")
+    tried = F.transform(runs, lambda r: F.struct(F.length(digits_of(text(r))).alias("n"), (-r["i"]).alias("at"), text(r).alias("card"), F.array_join(F.slice(part, 1, r["i"] - 1), "").alias("before")))
+    # the longest, of equals the first
+    best = F.array_max(F.filter(tried, lambda r: (r["n"] >= 13) & ((r["card"] == value) | r["card"].rlike(GROUPED)) & valid_card(r["card"])))
+    # an array of one, so that the search is not written out for each use
+    out = F.transform(F.array(best), lambda r: F.when(r.isNull(), value).otherwise(F.concat(r["before"], card(r["card"], key), F.substring(value, F.length(r["before"]) + F.length(r["card"]) + 1, F.length(value)))))
+    return F.get(out, F.lit(0))
+
+
 def phone(value: Column, key: str) -> Column:
     d = F.substring(digits_of(value), 2, 10)
     area, exchange = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 3).cast("long")
@@ -185,7 +204,7 @@ def patterns(any_phone: bool = False) -> dict[str, str]:
 
 def pseudonym(value: Column, key: str = DEFAULT_KEY, any_phone: bool = False) -> Column:
     """The pseudonym of one found value, by the first format that it has."""
-    kinds = {"email": email, "secret": secret, "access_key": access_key, "phone": phone, "ip": ip, "date": date, "card": card}
+    kinds = {"email": email, "secret": secret, "access_key": access_key, "phone": phone, "ip": ip, "date": date, "card": cards}
     out, shapes = value, patterns(any_phone)
     for kind in reversed(shapes):
         out = F.when(value.rlike(f"^(?:{shapes[kind]})$"), kinds[kind](value, key)).otherwise(out)
