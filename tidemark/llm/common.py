@@ -47,6 +47,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder once; what follows reads only the columns it needs there."""
+    folder = new_folder(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of stored frames that nothing reads any more."""
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's code to the executors, once a session's context."""
     context = spark.sparkContext
@@ -69,12 +84,21 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+#: Bytes of a slice's rows, unless a single row has more.
+SLICE_BYTES = 1 << 21
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Small slices of Arrow batches, so that a task holds few texts as Python objects at once; what the batch
-    took is given back to the system after it."""
+    """Small slices of Arrow batches, in rows and in bytes, so that a task holds few texts as Python objects at
+    once; what the batch took is given back to the system after it."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        k = 0
+        while k < batch.num_rows:
+            n = min(rows, batch.num_rows - k)
+            while n > 1 and batch.slice(k, n).nbytes > SLICE_BYTES:
+                n //= 2
+            yield batch.slice(k, n)
+            k += n
         give_back()
 
 
