@@ -26,7 +26,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -68,15 +67,24 @@ def test_chunks_equal_library(chunks, library, text):
     assert np.frombuffer(chunks.encode([text.encode()])[0], chunks.dtype).tolist() == library(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(parts=st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from(["T", "j", "h", "A", ".", ",", " ", "\u0344", "\u0308", "\u0331", "\u0130", "\ufb46", "\u0f57", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>x"])), max_size=12))
+def test_marks_and_special_tokens_equal_library(chunks, library, parts):
+    text = "".join(parts)
+    assert np.frombuffer(chunks.encode([text.encode()])[0], chunks.dtype).tolist() == library(text)
+
+
 def test_byte_pairs_of_table(small, nothing, exact, pairs):
     out = byte_bpe.round_trip(small, RANKS, P.PATTERN).collect()
     want = Counter((r["doc_id"], r["text"] or "") for r in small.collect())
-    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in out) == Counter((d, sha256(t.encode()).hexdigest()) for d, t in want.elements())
+    ids_of = lambda t: exact.encode_ordinary(t)
+    figures = lambda d, t: (d, len(ids_of(t)), sha256(" ".join(map(str, ids_of(t))).encode()).hexdigest(), sha256(t.encode()).hexdigest())
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out) == Counter(figures(d, t) for d, t in want.elements())
     assert byte_bpe.round_trip(nothing, RANKS, P.PATTERN).count() == 0
     coded = byte_bpe.encode(small, RANKS, P.PATTERN)
     back = byte_bpe.decode(coded, RANKS, P.PATTERN)
     assert Counter((r["doc_id"], bytes(r["decoded"])) for r in back.collect()) == Counter((d, t.encode()) for d, t in want.elements())
-    assert len(exact.encode_ordinary("x")) == 1 and pairs.encode("") == []
+    assert pairs.encode("") == []
 
 
 def check_packing(rows, texts, library, capacity):
@@ -151,3 +159,23 @@ def test_token_files(spark, small, nothing, library):
     folder = new_folder(spark, "t")
     token_files.write_token_files(nothing, folder, WORDS, 1)
     assert token_files.read_token_files(spark, folder).count() == 0
+
+
+def test_text_ids(spark, library):
+    df = spark.createDataFrame([("b\n2", "second one"), ("a", "first"), (None, "no id"), ("é", None)], "name string, body string").repartition(3)
+    folder = new_folder(spark, "t")
+    token_files.write_token_files(df, folder, WORDS, 1, id_col="name", text_col="body")
+    rows = sorted(token_files.read_token_files(spark, folder, with_ids=True).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None, "a", "b\n2", "é"]
+    assert [r["ids"] for r in rows] == [[*library(t), 1] for t in ("no id", "first", "second one", "")]
+    out = packing.pack_documents(df, WORDS, id_col="name", text_col="body").collect()
+    assert Counter(r["doc_id"] for r in out) == Counter(["b\n2", "a", None, "é"])
+
+
+def test_packing_is_close_to_the_least(spark):
+    """Of many pieces, the sequences are within 1 % of what their tokens need at least."""
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(4096, rng.lognormal(6, 1.1, 60_000).astype(int) + 1)
+    histogram = dict(Counter(lengths.tolist()))
+    chosen = packing.plan(histogram, 4096)
+    assert sum(times for times, _ in chosen) <= 1.01 * lengths.sum() / 4096 + 1

@@ -2,7 +2,8 @@
 
 A folder holds, for each part, `part-NNNNN.bin` (ids, little-endian, uint16 where the vocabulary
 allows, else uint32) and `part-NNNNN.idx` (int64 document ids, one byte each for a null id,
-uint64 offsets with one more than the documents, in this order), and `manifest.json` with the parts
+uint64 offsets with one more than the documents, in this order; document ids that aren't whole numbers stand
+in `part-NNNNN.txt` instead, one JSON text a line in the order of the documents, and come back as texts), and `manifest.json` with the parts
 in order and the prefix sums of their documents and ids: a part's base. Documents stand in
 ascending id order (null ids first, equal ids by their text's hash), so a document's place in the
 whole is its part's base plus its offset there.
@@ -14,16 +15,18 @@ the input are ignored.
 
 from __future__ import annotations
 
+import io
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.llm.common import pick, ship, slices, utf8
 from tidemark.llm.word_tokens import chunk_encoder
@@ -46,6 +49,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     ship(spark)
     rows = pick(docs, doc_id=id_col, text=text_col)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    whole = isinstance(rows.schema["doc_id"].dataType, IntegralType)
+    if not whole:
+        rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,23 +63,31 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         place, root = _place(folder)
         own, name = f"{root}/.{task.taskAttemptId()}", f"part-{task.partitionId():05d}"
         end = np.array([end_id], dtype).tobytes()
-        ids, nulls, lengths, sink = [], [], [], None
+        ids, nulls, lengths, sink, names = [], [], [], None, None
         for b in slices(batches):
             if sink is None:
                 place.create_dir(root, recursive=True)
                 sink = place.open_output_stream(f"{own}.bin")
+                names = None if whole else place.open_output_stream(f"{own}.txt")
             coded = encoder.encode(utf8(b.column(1)))
             sink.write(b"".join(x for c in coded for x in (c, end)))
             lengths.append(np.array([len(c) // dtype.itemsize + 1 for c in coded], np.uint64))
             nulls.append(b.column(0).is_null().to_numpy(zero_copy_only=False))
-            ids.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+            if whole:
+                ids.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
+            else:
+                ids.append(np.zeros(b.num_rows, "<i8"))
+                names.write(b"".join(json.dumps(x).encode() + b"\n" for x in b.column(0).to_pylist()))
         if sink is None:
             return
         sink.close()
         offsets = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.concatenate(lengths), dtype=np.uint64)])
         with place.open_output_stream(f"{own}.idx") as f:
             f.write(np.concatenate(ids).tobytes() + np.concatenate(nulls).astype(np.uint8).tobytes() + offsets.astype("<u8").tobytes())
-        for kind in ("bin", "idx"):
+        if names:
+            names.close()
+        # the index last: a part that has one is whole
+        for kind in ("bin", "idx") if whole else ("txt", "bin", "idx"):
             place.move(f"{own}.{kind}", f"{root}/{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "docs": [len(offsets) - 1], "tokens": [int(offsets[-1])], "dtype": [dtype.str]})
 
@@ -82,6 +96,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     bases = {k: [0, *accumulate(p[k] for p in parts)] for k in ("docs", "tokens")}
     manifest = {
         "end_id": end_id,
+        "text_ids": not whole,
         "docs": bases["docs"][-1],
         "tokens": bases["tokens"][-1],
         "parts": [p.asDict() | {"first_doc": d, "first_token": t} for p, d, t in zip(parts, bases["docs"], bases["tokens"], strict=False)],
@@ -111,6 +126,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
     place, root = _place(folder)
     with place.open_input_file(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
+    text_ids = manifest.get("text_ids", False)
     pieces = [(p["name"], p["dtype"], p["docs"], p["first_token"], k, min(READ_DOCS, p["docs"] - k)) for p in manifest["parts"] for k in range(0, p["docs"], READ_DOCS)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +141,17 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
                 cuts = (offsets - offsets[0]).tolist()
                 wide = [tokens[x:y].astype("<u4") for x, y in zip(cuts, cuts[1:], strict=False)] if with_ids else None
                 crc = [zlib.crc32(w.tobytes()) for w in wide] if with_ids else [zlib.crc32(tokens[x:y].astype("<u4").tobytes()) for x, y in zip(cuts, cuts[1:], strict=False)]
-                out = [pa.array(np.array(ids), mask=nulls), pa.array(offsets[:-1] + base), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())]
+                if text_ids:
+                    with place.open_input_file(f"{path}.txt") as f:
+                        lines = islice(io.TextIOWrapper(f, "utf-8", newline="\n"), first, first + count)
+                        named = pa.array(list(map(json.loads, lines)), pa.string())
+                else:
+                    named = pa.array(np.array(ids), mask=nulls)
+                out = [named, pa.array(offsets[:-1] + base), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())]
                 if with_ids:
                     out.append(pa.array([w.astype(np.int64) for w in wide], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = f"doc_id {'string' if text_ids else 'long'}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     source = spark.createDataFrame(pieces, "name string, dtype string, docs long, base long, first long, count long")
     return source.repartition(max(1, len(pieces))).mapInArrow(read, schema)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 
@@ -28,7 +28,7 @@ class ChunkEncoder:
     text's ids are its chunks' ids in order. Each distinct chunk is encoded by the library once and
     kept. An unseen chunk of lower-case letters is one word to the tokenizer and goes straight to the
     library's merges; a full stop or comma that ends it is a word of its own; any other chunk is encoded
-    by the library as a text. Special-token strings in a text are ordinary text.
+    by the library as a text, which also finds the special tokens that a text spells out.
     """
 
     def __init__(self, path: str):
@@ -36,7 +36,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.split() != [t] or t.isalpha() for t in added):
+            raise ValueError(f"{path}: a special token has white space or is a word; encode whole texts instead")
+        #: What texts that may spell out a special token, in whatever case, have in them.
+        self.marks = {min(t.lower(), key=str.isalnum).encode() for t in added}
         self.dtype, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         alone = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", "b", "a\n\tb", "a b")]
         if alone[2] != alone[0] + alone[1] or alone[3] != alone[2]:
@@ -53,7 +57,7 @@ class ChunkEncoder:
         end = self.closing.get(x[-1:], b"")
         word = x[:-1] if end else x
         text = word.decode()
-        if end and text[-1:].isalpha():
+        if end and normalize("NFC", text).lower()[-1:].isalpha():
             return self.cache[word] + end
         if not end and text.isalpha() and text == text.lower() and is_normalized("NFC", text):
             return array(self.code, [t.id for t in self.merges(word.decode("latin-1").translate(self.byte_names))]).tobytes()
@@ -62,11 +66,18 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as flat integers of self.dtype."""
-        get, out = self.cache.__getitem__, []
-        for t in texts:
-            # the tokenizer lower-cases too; a combining mark may compose with small letters only, so such texts stay
-            out.append(b"".join(map(get, (t if b"\xcc" in t else t.lower()).split())))
-        return out
+        get = self.cache.__getitem__
+        return [b"".join(map(get, self.lowered(t).split())) for t in texts]
+
+    def lowered(self, text: bytes) -> bytes:
+        """The text in small letters where that leaves its ids the same: the tokenizer lower-cases too, but after it has composed
+        characters (marks may compose with small letters only) and looked for special tokens."""
+        small = text.lower()
+        if any(m in text for m in self.marks) and small != text:
+            return text
+        if text.isascii() or (is_normalized("NFC", text.decode()) and is_normalized("NFC", small.decode())):
+            return small
+        return text
 
 
 _encoders: dict[str, ChunkEncoder] = {}
