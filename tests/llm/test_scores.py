@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -167,6 +168,19 @@ def test_licences(spark, small, nothing):
     assert licences.scan(small).count() == small.count() and licences.scan(nothing).count() == 0
 
 
+def test_licences_within_texts(spark):
+    """Inside a longer line, wrapped over lines in a longer text, two in one text, none in prose that shares words with one."""
+    prose = "the quick brown fox jumps over the lazy dog and runs through the green fields until night falls on the software again "
+    mit = licences.TEMPLATES["MIT text"]
+    wrapped = "Readme.\n" + prose * 5 + "\nCopyright (c) someone\n\n" + textwrap.fill(mit, 70) + "\n" + prose * 9
+    grant = "Readme.\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction.\n" + prose
+    texts = [prose + "Licensed under the Apache License, Version 2.0. " + prose, wrapped, grant, f"{prose}released under the MIT license {prose} licensed under CC BY 4.0 {prose}", prose * 3, prose + "under the license of version 2 and the license of the software"]
+    rows = sorted(licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r["licence"] for r in rows] == ["Apache-2.0", rows[1]["licence"], "MIT grant", rows[3]["licence"], None, None]
+    assert rows[1]["licences"] == "MIT grant, MIT text"
+    assert rows[3]["licences"] == "MIT, CC-BY-4.0" and rows[4]["licences"] == rows[5]["licences"] == ""
+
+
 @pytest.mark.parametrize("text", ["Licensed under the Apache License, Version 2.0!", "this work is licensed under the gnu general public license version 3", "Licensed under CC BY 4.0", "of no licence at all"])
 def test_licence_score(spark, text):
     own = set(licences.bigrams_of(text))
