@@ -171,9 +171,9 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
       SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g
       FROM (SELECT r, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM numbered) WHERE len(w) >= 2
     ), starts AS (
-      SELECT r, g, rank, licence, own, size, unnest(list_append(range(1, len(g) - size + 2, step), len(g) - size + 1)) AS at
+      SELECT r, g, rank, licence, own, size, unnest(list_append(range(1, len(g) - size + 2, step), len(g) - size + 1)) AS first
       FROM whole, templates WHERE list_has_any(g, {signs!r}) AND len(g) >= size
-    ), windows AS (SELECT r, rank, licence, own, list_distinct(g[at : at + size - 1]) AS b FROM starts
+    ), windows AS (SELECT r, rank, licence, own, list_distinct(g[first : first + size - 1]) AS b FROM starts
     ), found AS (
       SELECT r, rank, licence, score, 1 AS passage FROM scored WHERE score >= {threshold}
       UNION ALL SELECT r, rank, licence, max({dice}), 0 FROM windows WHERE {within} GROUP BY r, rank, licence HAVING max({dice}) >= {threshold}
