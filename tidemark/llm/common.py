@@ -47,6 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a small intermediate result that one task takes.
+TASK_ROWS = 50_000
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more parts than so many rows need, so that a round over few rows costs few tasks and files."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Writes df as Parquet to the shared folder once; what follows reads only the columns it needs there."""
     folder = new_folder(df.sparkSession, kind)
