@@ -145,6 +145,8 @@ SET_BYTES = 5
 FEW, GROWTH = 8, 16
 #: Keys (of 16 bytes) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Rows that a pair to be verified counts as.
+PAIR_WEIGHT = 50
 
 
 def sets_of(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -257,7 +259,8 @@ def similar(dealt: DataFrame, known: DataFrame, sets: Callable[[DataFrame], Data
         met = met.filter((F.col("label") != F.col("label2")) & alike(("n", "n2"), ("sign", "sign2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         met = cut(met.join(judged, ["a", "b"], "left_anti"))
         n = met.count()
-        fresh = cut(compact(verified(compact(met, n), held), n))
+        # a pair meets two whole sets, so a task takes fewer pairs than other rows
+        fresh = cut(compact(verified(compact(met, n), held), PAIR_WEIGHT * n))
         judged = judged.unionByName(fresh.filter("NOT ok").select("a", "b"))
         found = found.unionByName(fresh.filter("ok").select("a", "b"))
         live = many.join(centres.select("part", F.col("id2").alias("id")), ["part", "id"], "left_anti").select(*columns, "label")
