@@ -23,11 +23,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = star.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state or not now[0]:
             return star.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state, star = now, compact(star, now[0])
+        state, star, rows = now, compact(star, now[0]), 2 * now[0]
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["k"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = compact(both.join(least, both["u"] == least["k"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), rows)
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(least, large["u"] == least["k"]).select("u", "v", "m")
         # a round makes two edges of one at most
-        star = cut(compact(small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), 2 * now[0]))
+        star = cut(compact(small.select("u", F.col("m").alias("v")).unionByName(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), rows))

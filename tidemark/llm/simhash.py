@@ -251,7 +251,7 @@ def similar(dealt: DataFrame, known: DataFrame, sets: Callable[[DataFrame], Data
             return found
         live = compact(live, rows)
         few, many = live.filter(F.col("m") <= FEW), live.filter(F.col("m") > FEW)
-        groups = many.groupBy("part", "label").agg(F.count("*").alias("size"))
+        groups = compact(many.groupBy("part", "label").agg(F.count("*").alias("size")), rows)
         order = Window.partitionBy("part").orderBy("size", F.desc("degree"), "id")
         ranked = many.join(groups, ["part", "label"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= centres_each)
         centres = cut(compact(ranked.select(second), rows))
@@ -259,8 +259,8 @@ def similar(dealt: DataFrame, known: DataFrame, sets: Callable[[DataFrame], Data
         met = met.filter((F.col("label") != F.col("label2")) & alike(("n", "n2"), ("sign", "sign2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         met = cut(met.join(judged, ["a", "b"], "left_anti"))
         n = met.count()
-        # a pair meets two whole sets, so a task takes fewer pairs than other rows
-        fresh = cut(compact(verified(compact(met, n), held), PAIR_WEIGHT * n))
+        # a pair meets two whole sets, so a task takes fewer pairs than other rows; what is left of a pair is small again
+        fresh = compact(cut(compact(verified(compact(met, n), held), PAIR_WEIGHT * n)), n)
         judged = judged.unionByName(fresh.filter("NOT ok").select("a", "b"))
         found = found.unionByName(fresh.filter("ok").select("a", "b"))
         live = many.join(centres.select("part", F.col("id2").alias("id")), ["part", "id"], "left_anti").select(*columns, "label")
