@@ -135,6 +135,24 @@ def test_gate_of_empty_gold(spark):
     assert found == {"QG001": 0, "QG002": 0, "QG003": 0, "QG004": 0, "QG005": 1, "QG006": 1}
 
 
+def test_strict_defaults():
+    assert rules.threshold_of("r", {"r_ratio": 0.5, "max_invalid_ratio": 0.1}, 100, True) == 0
+    assert rules.threshold_of("r", {"r": 3}, 100, True) == 3
+
+
+def test_dimension_without_fan_out(spark):
+    rows, dim = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(1, "a"), (None, "b"), (None, "c")], "k int, name string")
+    found = transforms.joined_once(rows, dim, "k").collect()
+    assert sorted((str(r["k"]), r["name"]) for r in found) == [("1", "a"), ("2", None), ("None", None)]
+    with pytest.raises(ValueError, match="equal k"):
+        transforms.joined_once(rows, dim.unionByName(dim.limit(1)).na.fill(1, ["k"]), "k")
+
+
+def test_null_profile_order(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "x", None)], "b int, a string, c string")
+    assert [r["column_name"] for r in transforms.null_profile(df).collect()] == ["c", "a", "b"]
+
+
 def test_thresholds():
     assert rules.threshold_of("r", {"r": 3, "r_ratio": 0.5}, 100) == 3
     assert rules.threshold_of("r", {"r_ratio": 0.5, "max_invalid_ratio": 0.1}, 100) == 50

@@ -4,6 +4,7 @@ from datetime import datetime, timezone
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark import cli
@@ -41,6 +42,20 @@ def test_all_stages(spark, tmp_path):
         Pipeline(spark, store, "r3", year=2024, month=1).daily()
 
 
+def test_options(spark, tmp_path):
+    store, path = TableStore(str(tmp_path / "w"), spark), sample(spark, tmp_path / "in.parquet")
+    bad = spark.read.parquet(path).limit(1).withColumn("fare_amount", -F.col("fare_amount"))
+    spark.read.parquet(path).unionByName(bad).coalesce(1).write.parquet(str(tmp_path / "more.parquet"))
+    at = datetime(2024, 2, 1, tzinfo=timezone.utc)
+    run = Pipeline(spark, store, "r", at, max_invalid_ratio=0.5, enforce_unfiltered=True, append_summary=True)
+    for _ in range(2):
+        run.all(str(tmp_path / "more.parquet"))
+    assert store.read(spark, CLEAN).count() == 3 and store.read(spark, SUMMARY).count() == 12
+    assert store.read(spark, "quality.quarantine_silver_trips_clean").filter("rule_id = 'SLV003'").count() == 2
+    other = Pipeline(spark, store, "s", at, 2023, 5, quality_in_window=True, strict_quality=False).quality()
+    assert other[CLEAN]["profile"]["volume_ratio"] == 0
+
+
 def test_backfill_resumes(tmp_path):
     settings, seen = {"a": 1}, []
 

@@ -148,10 +148,13 @@ def gate_counts(silver: DataFrame, gold: DataFrame, low: float = 0.5, high: floa
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def threshold_of(rule: str, thresholds: dict[str, float], total_rows: int) -> int:
-    """The caller's threshold for the rule, else its ratio of the rows, else the general ratio, else none allowed."""
+def threshold_of(rule: str, thresholds: dict[str, float], total_rows: int, strict_defaults: bool = False) -> int:
+    """The caller's threshold for the rule, else its ratio of the rows, else the general ratio, else none allowed.
+    With strict defaults no ratio counts: a rule without its own threshold allows none."""
     if rule in thresholds:
         return int(thresholds[rule])
+    if strict_defaults:
+        return 0
     for k in (f"{rule}_ratio", "max_invalid_ratio"):
         if k in thresholds:
             return int(thresholds[k] * total_rows)
@@ -164,7 +167,7 @@ def samples(df: DataFrame, value: Column, n: int = 5) -> str | None:
     return json.dumps(found) if found else None
 
 
-def quality_gate(silver: DataFrame, gold: DataFrame, *, dataset: str, run_id: str, run_ts: Any, contract: Contract | None = None, thresholds: dict[str, float] | None = None, window: tuple[int | None, int | None] = (None, None), strict: bool = True, write: Any = None) -> DataFrame:
+def quality_gate(silver: DataFrame, gold: DataFrame, *, dataset: str, run_id: str, run_ts: Any, contract: Contract | None = None, thresholds: dict[str, float] | None = None, window: tuple[int | None, int | None] = (None, None), strict: bool = True, write: Any = None, strict_defaults: bool = False) -> DataFrame:
     """The summary in its fixed columns, given to `write` before a failed error rule raises."""
     thresholds = dict(thresholds or {})
     low, high = thresholds.pop("gold_min_avg_fare_per_trip", 0.5), thresholds.pop("gold_max_avg_fare_per_trip", 500.0)
@@ -179,7 +182,7 @@ def quality_gate(silver: DataFrame, gold: DataFrame, *, dataset: str, run_id: st
     rows, failed = [], []
     for name, rule_id in GATE_RULES.items():
         severity = own[name].severity if name in own else "error"
-        limit = threshold_of(name, thresholds, total)
+        limit = threshold_of(name, thresholds, total, strict_defaults)
         passed = counts[name] <= limit
         shown = samples(*bad[name]) if name in bad and counts[name] else None
         rows.append((dataset, run_id, run_ts, *window, int(contract.version) if contract else None, own[name].rule_id if name in own else rule_id, name, severity, passed, counts[name], shown, limit, json.dumps({"low": low, "high": high} if name == "gold_avg_fare_per_trip_out_of_range" else {}, sort_keys=True)))

@@ -194,6 +194,13 @@ def calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
     )
 
 
+def joined_once(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """df with the dimension's columns beside it; a ValueError where a row of df would come out more than once."""
+    if has_duplicates(dim.filter(F.col(key).isNotNull()), [key]):
+        raise ValueError(f"the dimension has rows of equal {key}")
+    return df.join(dim, key, "left")
+
+
 def day_counts_compared(left: DataFrame, right: DataFrame, day: str = "day") -> DataFrame:
     """Both sides' rows by day, missing days as 0, largest difference first."""
     a, b = (x.groupBy(day).agg(F.count("*").alias(n)) for x, n in ((left, "source_rows"), (right, "target_rows")))
@@ -202,11 +209,11 @@ def day_counts_compared(left: DataFrame, right: DataFrame, day: str = "day") ->
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """Nulls and their rate for each column, in one pass."""
+    """Nulls and their rate for each column, in one pass; the highest rate first."""
     one = df.agg(F.count("*").alias("__rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
     pairs = ", ".join(f"'{c}', `{c}`" for c in df.columns)
     long = one.selectExpr("__rows", f"stack({len(df.columns)}, {pairs}) AS (column_name, null_count)")
-    return long.select("column_name", "null_count", F.round(F.coalesce(F.try_divide("null_count", "__rows"), F.lit(0.0)), 6).alias("null_rate"))
+    return long.select("column_name", "null_count", F.round(F.coalesce(F.try_divide("null_count", "__rows"), F.lit(0.0)), 6).alias("null_rate")).orderBy(F.desc("null_rate"), "column_name")
 
 
 def column_drift(df: DataFrame, expected: Sequence[str]) -> dict[str, list[str]]:

@@ -36,6 +36,13 @@ class Pipeline:
     max_invalid_ratio: float = 0.001
     strict_quality: bool = True
     folder: Path = CONTRACTS
+    #: Enforce the contract on all candidates, not only those that pass the validity filter.
+    enforce_unfiltered: bool = False
+    #: Gate and drift over the month alone; otherwise it is only noted in their rows.
+    quality_in_window: bool = False
+    #: Keep earlier runs' gate summaries.
+    append_summary: bool = False
+    strict_defaults: bool = False
 
     def metrics(self, name: str, dataset: str, version: Any, values: dict[str, Any]) -> None:
         row = [(self.run_ts, self.run_id, name, dataset, int(version), json.dumps(values, sort_keys=True, default=str))]
@@ -62,7 +69,9 @@ class Pipeline:
         self.store.overwrite(RAW, raw_rows(self.spark, path, year=self.year, month=self.month))
 
     def clean(self) -> dict[str, Any]:
-        trips = transforms.valid_trips(transforms.canonical(self.store.read(self.spark, RAW))).filter(in_month("pickup_date", self.year, self.month))
+        trips = transforms.canonical(self.store.read(self.spark, RAW)).filter(in_month("pickup_date", self.year, self.month))
+        if not self.enforce_unfiltered:
+            trips = transforms.valid_trips(trips)
         return self.load("clean", CLEAN, transforms.latest(trips, ["trip_id"], "updated_at"), None, "pickup_date")
 
     def daily(self) -> dict[str, Any]:
@@ -80,8 +89,11 @@ class Pipeline:
 
     def quality(self) -> dict[str, Any]:
         silver, gold = self.store.read(self.spark, CLEAN), self.store.read(self.spark, DAILY)
+        if self.quality_in_window:
+            silver, gold = silver.filter(in_month("pickup_date", self.year, self.month)), gold.filter(in_month("trip_date", self.year, self.month))
+        write = self.store.append if self.append_summary else self.store.overwrite
         contract = contracts.load(self.folder, CLEAN)
-        rules.quality_gate(silver, gold, dataset=CLEAN, run_id=self.run_id, run_ts=self.run_ts, contract=contract, window=(self.year, self.month), strict=self.strict_quality, write=lambda s: self.store.overwrite(SUMMARY, s))
+        rules.quality_gate(silver, gold, dataset=CLEAN, run_id=self.run_id, run_ts=self.run_ts, contract=contract, window=(self.year, self.month), strict=self.strict_quality, write=lambda s: write(SUMMARY, s), strict_defaults=self.strict_defaults)
         common = {"run_id": self.run_id, "run_ts": self.run_ts, "window": (self.year, self.month)}
         return {
             CLEAN: drift.detect(self.store, silver, dataset=CLEAN, metrics=drift.grain_metrics("trip"), distribution="passenger_count", **common),
