@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import month_bounds, stable_number
-from tidemark.operators import drift, rules, transforms, upsert
+from tidemark.operators import diagnostics, drift, rules, transforms, upsert
 from tidemark.sources.contracts import Contract, Field, Rule
-from tidemark.sources.store import TableStore, quoted
+from tidemark.sources.store import TableStore, is_schema_conflict, quoted
 
 T = datetime(2024, 1, 31, tzinfo=timezone.utc)
 
@@ -229,3 +229,95 @@ def test_unknown_vendor_and_names(spark):
     df = spark.createDataFrame([("1", 2.0), (None, 3.0), ("9", 1.0)], "vendor_id string, fare_amount double").withColumn("pickup_date", F.lit(date(2024, 1, 1)))
     assert {r["vendor_id"] for r in transforms.daily_kpi(df).collect()} == {"1", "9", "UNKNOWN"}
     assert {r["vendor_id"]: r["vendor_name"] for r in transforms.vendor_dim(df).collect()} == {"1": "Creative Mobile Technologies", "9": "Unknown/Other"}
+
+
+def test_upsert_by_partition(spark, store):
+    def rows(*r):
+        return spark.createDataFrame([(k, v, None if d is None else date(2024, 5, d), datetime(2024, 5, t)) for k, v, d, t in r], "k string, v int, day date, at timestamp")
+
+    def files():
+        return {"/".join(f.split("/")[-3:]) for f in store.read(spark, "s.t").inputFiles()}
+
+    merge = lambda df: upsert.incremental_merge(store, df, "s.t", ["k"], "at", 30, partition_by="day")
+    merge(rows(("a", 1, 1, 1), ("b", 1, 2, 2), ("c", 1, 3, 3), ("n", 1, None, 3)))
+    before = {r["day"]: r["f"] for r in store.read(spark, "s.t").select("day", F.concat_ws("/", F.slice(F.split(F.input_file_name(), "/"), -3, 3)).alias("f")).collect()}
+    # b moves to another day, d is new; the days of a and of c and the null day stay as they are
+    done = merge(rows(("b", 2, 4, 4), ("d", 2, 4, 4)))
+    found = {r["k"]: (r["v"], r["day"]) for r in store.read(spark, "s.t").collect()}
+    assert found == {"a": (1, date(2024, 5, 1)), "b": (2, date(2024, 5, 4)), "c": (1, date(2024, 5, 3)), "d": (2, date(2024, 5, 4)), "n": (1, None)}
+    assert done["partitions_written"] == 2 and files() > {before[date(2024, 5, 1)], before[date(2024, 5, 3)], before[None]}
+    assert before[date(2024, 5, 2)] not in files()
+    merge(rows(("n", 3, None, 5)))
+    store.append("s.t", rows(("e", 5, 1, 5)))
+    want = [("a", 1), ("b", 2), ("c", 1), ("d", 2), ("e", 5), ("n", 3)]
+    assert sorted((r["k"], r["v"]) for r in store.read(spark, "s.t").collect()) == want
+    assert store.vacuum("s.t") > 0 and store.vacuum("s.t") == 0
+    assert sorted((r["k"], r["v"]) for r in store.read(spark, "s.t").collect()) == want
+    assert store.read(spark, "s.t", [date(2024, 5, 4)]).count() == 2 and store.read(spark, "s.t", [date(2030, 1, 1)]).isEmpty()
+    assert store.read(spark, "s.t").schema == rows().schema
+    with pytest.raises(ValueError, match="other values"):
+        store.replace("s.t", rows(("z", 1, 9, 9)), [date(2024, 5, 1)])
+    with pytest.raises(ValueError, match="whole number"):
+        store.overwrite("s.u", rows(("z", 1, 9, 9)), "k")
+    assert upsert.incremental_merge(store, rows(), "s.t", ["k"], "at", 30)["rows_deduped"] == 0
+
+
+def test_safe_write(spark, store):
+    one, other = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([("a",)], "x string")
+    store.safe_write("a.b", one, "append")
+    store.safe_write("a.b", one)
+    for refused in ("overwrite", "append"):
+        with pytest.raises(ValueError, match="schema"):
+            store.safe_write("a.b", other, refused)
+    store.safe_write("a.b", other, overwrite_schema=True)
+    store.safe_write("a.b", one, "append", recreate_on_schema_mismatch=True)
+    store.safe_write("a.b", one, "append", recreate_on_schema_mismatch=True)
+    assert store.read(spark, "a.b").count() == 2
+    store.safe_write("a.b", other, "append", recreate_on_schema_conflict=True)
+    assert [tuple(r) for r in store.read(spark, "a.b").collect()] == [("a",)]
+    store.safe_write("a.b", other, "append", force_recreate=True)
+    assert store.read(spark, "a.b").count() == 1
+    with pytest.raises(ValueError, match="mode"):
+        store.safe_write("a.b", one, "merge")
+    assert not is_schema_conflict(ValueError("other")) and is_schema_conflict(ValueError("schema of a.b differs"))
+    store.view("s.v", one.filter("x > 0"))
+    assert spark.table("s__v").count() == 1
+
+
+def test_nan_in_ranges(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("b", 3.0)], "k string, x double")
+    open_range = Contract("d", "o", 1, (Field("k", "string"), Field("x", "double")), (), None, None, (Rule("size", "B", "error", "range", ("x",), 0, None),))
+    assert rules.enforce(df, open_range).summary["invalid_count"] == 0
+    assert rules.enforce(df, open_range, 0.5, reject_nan=True).summary["invalid_count"] == 1
+
+
+def test_staged_rows_are_worked_out_once(spark, store):
+    calls = []
+
+    def stage(tags):
+        calls.append(tags)
+        store.overwrite("w.x", tags)
+        return store.read(spark, "w.x")
+
+    done = rules.enforce(spark.createDataFrame([("a", 1.0), (None, 2.0)], "k string, x double"), CONTRACT, 0.5, stage=stage)
+    assert len(calls) == 1 and done.valid.inputFiles() and [r["rule_id"] for r in done.quarantine.collect()] == ["A"]
+
+
+def test_column_test_severity(spark):
+    tests = rules.column_tests(spark.createDataFrame([(1, "x"), (1, None)], "k int, s string"), ["s"], ["k"])
+    found = rules.judged(tests, [("not_null", "s"), ("unique", "k")])
+    assert sorted(rules.require_passed(found)) == ["not_null(s): 1", "unique(k): 1"]
+    with pytest.raises(ValueError, match="unique"):
+        rules.require_passed(rules.judged(tests, [("not_null", "s")]))
+
+
+def test_quality_summary(spark):
+    raw = spark.createDataFrame([(1, -2.0), (2, 5.0), (3, None)], "k int, fare double")
+    gold = spark.createDataFrame([(1, 2)], "day int, trips long")
+    rows = diagnostics.summary(raw, raw.filter("k < 3"), gold, {"negative": "fare < 0", "missing": "fare IS NULL"}, ["k", "fare", "tip"])
+    found = {(r["category"], r["metric_name"]): (r["metric_value"], r["metric_rate"]) for r in rows.collect()}
+    assert found["reconciliation", "drop_rows"] == (1.0, None) and found["reconciliation", "drop_rate"] == (pytest.approx(1 / 3, abs=1e-6), None)
+    assert found["validity", "negative"] == (1.0, 0.5) and found["drift", "missing_columns"] == (1.0, None)
+    assert found["reconciliation", "gold_trips"] == (2.0, None) and len(found) == 10
+    empty = diagnostics.summary(raw.limit(0), raw.limit(0), gold.limit(0), {"negative": "fare < 0"}, ["k", "fare"])
+    assert {r["metric_value"] for r in empty.collect()} == {0.0}

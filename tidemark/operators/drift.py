@@ -100,19 +100,19 @@ def detect(store: Any, df: DataFrame, *, dataset: str, run_id: str, run_ts: Any,
         event("baseline_initialized", "baseline_initialized", "info", None, None, None, {"note": "first profile; drift is judged from the next run on"})
     else:
         base_run = next(iter(old.values()))["run_id"]
-        for m, value in now.items():
-            before = old[m]["metric_value"] if m in old else None
-            if value is None or before is None:
-                continue
-            change = abs(value - before) / abs(before) if before else float(value != 0)
-            level = "error" if change >= limits[m][1] else "warn" if change >= limits[m][0] else None
-            if level:
-                event("drift_detected", m, level, before, value, change, {"baseline_run_id": base_run})
+        # a handful of rows each: the metrics of this run, of the run before, and the limits
+        past_values = spark.createDataFrame([(m, r["metric_value"]) for m, r in old.items()], "metric_name string, metric_value double")
+        own_values = spark.createDataFrame(list(now.items()), "metric_name string, metric_value double")
+        found_drift = {r["metric_name"]: r for r in compared(own_values, past_values, limits).filter("severity IS NOT NULL").collect()}
+        for m in now:
+            if r := found_drift.get(m):
+                event("drift_detected", m, r["severity"], r["baseline_value"], r["observed_value"], r["delta_ratio"], {"baseline_run_id": base_run})
         m = "passenger_distribution_l1"
         if parts is not None and m in old:
             past_parts = json.loads(old[m]["distribution_json"] or "{}")
-            change = sum(abs(parts.get(k, 0.0) - past_parts.get(k, 0.0)) for k in parts.keys() | past_parts.keys())
-            level = "error" if change >= limits[m][1] else "warn" if change >= limits[m][0] else None
+            a, b = (spark.createDataFrame(list(x.items()), "category string, share double") for x in (parts, past_parts))
+            distance = l1_distance(a, b)
+            change, level = distance.select("l1", severity(F.col("l1"), *map(F.lit, limits[m])).alias("severity")).first()
             if level:
                 event("drift_detected", m, level, json.dumps(past_parts, sort_keys=True), json.dumps(parts, sort_keys=True), change, {"baseline_run_id": base_run})
     if events:

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from tidemark.functions.columns import count_where
-from tidemark.operators.transforms import duplicate_rows, has_duplicates
+from tidemark.operators.transforms import duplicate_rows
 from tidemark.sources.contracts import Contract, Rule
 
 LABELS = ("rule_id", "rule_name", "reason_code", "severity")
 
 
-def fails(rule: Rule) -> Column | None:
-    """True where a row breaks the rule; None for rules that aren't about single rows."""
+def fails(rule: Rule, nan: Collection[str] = ()) -> Column | None:
+    """True where a row breaks the rule; None for rules that aren't about single rows. A NaN is above every number, so it
+    passes a range without a greatest value, unless its column is among `nan`."""
     if rule.type == "not_null" and rule.columns:
         found = F.lit(False)
         for c in rule.columns:
@@ -31,6 +33,8 @@ def fails(rule: Rule) -> Column | None:
             found |= c < F.lit(rule.min)
         if rule.max is not None:
             found |= c > F.lit(rule.max)
+        if rule.columns[0] in nan:
+            found |= F.isnan(c)
         return found
     return None
 
@@ -43,10 +47,11 @@ def check_schema(df: DataFrame, contract: Contract) -> None:
         raise ValueError(f"Type mismatches found: {wrong}")
 
 
-def tagged(df: DataFrame, contract: Contract) -> DataFrame:
+def tagged(df: DataFrame, contract: Contract, reject_nan: bool = False) -> DataFrame:
     """Adds struct `__failed` (the first error rule that a row breaks, in the contract's order; else null) and
     whether it breaks any warn or info rule."""
-    by = {s: [(r, x) for r in contract.rules if r.severity == s and (x := fails(r)) is not None] for s in ("error", "warn", "info")}
+    nan = {f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))} if reject_nan else ()
+    by = {s: [(r, x) for r in contract.rules if r.severity == s and (x := fails(r, nan)) is not None] for s in ("error", "warn", "info")}
     label = F.lit(None).cast("struct<rule_id:string,rule_name:string,reason_code:string,severity:string>")
     for r, x in reversed(by["error"]):
         own = F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(f"{r.type}_violation").alias("reason_code"), F.lit(r.severity).alias("severity"))
@@ -72,6 +77,13 @@ def enforcement_counts(tags: DataFrame) -> DataFrame:
     return tags.agg(F.count("*").alias("total_count"), F.count_if(F.col("__failed").isNotNull()).alias("invalid_count"), count_where(F.col("__warn")).alias("warn_count"), count_where(F.col("__info")).alias("info_count"))
 
 
+def key_uniqueness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(valid_count, keys, repeated_keys, duplicate_rows) of a key, nulls equal to nulls."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    return counts.agg(F.coalesce(F.sum("n"), zero).alias("valid_count"), F.count("*").alias("keys"), F.count_if(F.col("n") > 1).alias("repeated_keys"), F.coalesce(F.sum(F.col("n") - 1), zero).alias("duplicate_rows"))
+
+
 @dataclass(frozen=True)
 class Enforced:
     valid: DataFrame
@@ -79,12 +91,13 @@ class Enforced:
     summary: dict[str, Any]
 
 
-def enforce(df: DataFrame, contract: Contract, max_invalid_ratio: float = 0.001) -> Enforced:
-    """Schema, rows, key, ratio, in this order; a ValueError for any but single bad rows."""
+def enforce(df: DataFrame, contract: Contract, max_invalid_ratio: float = 0.001, reject_nan: bool = False, stage: Callable[[DataFrame], DataFrame] = lambda tags: tags) -> Enforced:
+    """Schema, rows, key, ratio, in this order; a ValueError for any but single bad rows. `stage` may write the rows
+    with their tags and read them again: all that follows comes from what it returns."""
     check_schema(df, contract)
-    tags = tagged(df, contract)
+    tags = stage(tagged(df, contract, reject_nan))
     valid = valid_rows(tags)
-    if contract.primary_key and has_duplicates(valid, contract.primary_key):
+    if contract.primary_key and key_uniqueness(valid, contract.primary_key).first()["repeated_keys"]:
         raise ValueError(f"Primary key uniqueness violated for PK={list(contract.primary_key)}")
     counts = enforcement_counts(tags).first().asDict()
     ratio = counts["invalid_count"] / counts["total_count"] if counts["total_count"] else 0.0
@@ -129,21 +142,23 @@ SUMMARY_SCHEMA = "dataset string, run_id string, run_ts timestamp, window_year i
 
 
 def gate_counts(silver: DataFrame, gold: DataFrame, low: float = 0.5, high: float = 500.0) -> DataFrame:
-    """(rule_id, rule_name, failed_count) of the six rules: one pass over each table and one for each key."""
+    """(rule_id, rule_name, failed_count) of the six rules, from one pass over each table: gold at once, silver when read."""
     if low > high:
         raise ValueError("the least average fare is above the greatest")
-    g = gold.agg(F.min("trip_date").alias("first"), F.max("trip_date").alias("last"), F.count("*").alias("gold_rows"), F.sum("total_fare").alias("fare"), F.sum("trips").alias("gold_trips"))
+    pair = gold.groupBy("trip_date", "vendor_id").agg(F.count("*").alias("n"), F.sum("total_fare").alias("fare"), F.sum("trips").alias("trips"))
+    # one row for the driver, so that neither table is worked out twice
+    g = pair.agg(F.min("trip_date").alias("first"), F.max("trip_date").alias("last"), F.sum("n").alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"), F.try_divide(F.sum("fare").cast("double"), F.sum("trips")).alias("average")).first()
     day = F.col("pickup_date")
-    s = silver.crossJoin(F.broadcast(g.select("first", "last"))).agg(  # one row beside each
-        F.count_if(F.col("first").isNotNull() & (day.isNull() | (day < F.col("first")) | (day > F.col("last")))).alias("r1"),
-        F.count_if(F.col("pickup_ts").isNull() | F.col("dropoff_ts").isNull() | F.coalesce(F.col("dropoff_ts") <= F.col("pickup_ts"), F.lit(False))).alias("r2"),
-        count_where((F.col("fare_amount") < 0) | (F.col("trip_distance") < 0)).alias("r3"),
-    )
-    d1 = duplicate_rows(silver, ["trip_id"]).withColumnRenamed("duplicate_rows", "d1")
-    d2 = duplicate_rows(gold, ["trip_date", "vendor_id"]).withColumnRenamed("duplicate_rows", "d2")
-    one = s.crossJoin(g).crossJoin(d1).crossJoin(d2)  # one row each
-    average = F.try_divide(F.col("fare").cast("double"), F.col("gold_trips"))
-    counts = [F.col("r1"), F.col("r2"), F.col("r3"), F.col("d1") + F.col("d2"), F.when(F.col("gold_rows") > 0, 0).otherwise(1), F.when(average.between(low, high), 0).otherwise(1)]
+    out_of_window = F.lit(False) if g["first"] is None else day.isNull() | (day < F.lit(g["first"])) | (day > F.lit(g["last"]))
+    flags = {
+        "r1": out_of_window,
+        "r2": F.col("pickup_ts").isNull() | F.col("dropoff_ts").isNull() | F.coalesce(F.col("dropoff_ts") <= F.col("pickup_ts"), F.lit(False)),
+        "r3": (F.col("fare_amount") < 0) | (F.col("trip_distance") < 0),
+    }
+    # the key's rows and their flags are added up before the shuffle
+    keys = silver.groupBy("trip_id").agg(F.count("*").alias("n"), *[count_where(c).alias(k) for k, c in flags.items()])
+    one = keys.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in flags])
+    counts = [F.col("r1"), F.col("r2"), F.col("r3"), F.col("repeats") + F.lit(g["repeats"]), F.lit(0 if g["rows"] else 1), F.lit(0 if g["average"] is not None and low <= g["average"] <= high else 1)]
     rows = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(n).alias("rule_name"), c.cast("long").alias("failed_count")) for (n, i), c in zip(GATE_RULES.items(), counts, strict=True)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -201,6 +216,28 @@ def day_coverage(df: DataFrame, day: str, days_in_month: int, least: int = 28) -
     return df.agg(n.alias("days"), n.between(least, days_in_month).alias("passed"))
 
 
+def judged(tests: DataFrame, warn: Collection[tuple[str, str]] = ()) -> DataFrame:
+    """Column tests with a severity ('warn' for the given pairs of test and column, else 'error') and whether they passed."""
+    level = F.lit("error")
+    for t, c in warn:
+        level = F.when((F.col("test") == t) & (F.col("column_name") == c), "warn").otherwise(level)
+    return tests.withColumns({"severity": level, "passed": F.col("failures") == 0})
+
+
+def require_passed(tests: DataFrame) -> list[str]:
+    """A ValueError where a test of severity error failed; else the failed ones of severity warn."""
+    failed = [r.asDict() for r in tests.filter("NOT passed").collect()]
+    named = {s: [f"{r['test']}({r['column_name']}): {r['failures']}" for r in failed if r["severity"] == s] for s in ("error", "warn")}
+    if named["error"]:
+        raise ValueError(f"Column tests failed: {named['error']}")
+    return named["warn"]
+
+
+def severity_outcomes(summary: DataFrame) -> DataFrame:
+    """(severity, rules_checked, rules_failed) of a gate summary, in order of severity."""
+    return summary.groupBy("severity").agg(F.count("*").alias("rules_checked"), F.count_if(~F.col("passed")).alias("rules_failed")).orderBy("severity")
+
+
 def column_tests(df: DataFrame, not_null: Sequence[str] = (), unique: Sequence[str] = (), accepted: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """(test, column_name, failures): all in one aggregate, but uniqueness, which needs one for each column."""
     checks = [("not_null", c, F.count_if(F.col(c).isNull())) for c in not_null]

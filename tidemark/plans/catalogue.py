@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import date_key, in_month, require
-from tidemark.operators import drift, rules, transforms, upsert
+from tidemark.operators import diagnostics, drift, rules, transforms, upsert
 from tidemark.sources.contracts import Contract, Field, Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,9 +227,8 @@ def first_days_kpi(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'events' AS layer, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-02-01' UNION ALL SELECT 'days', count(DISTINCT CAST(ts AS DATE)) FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-02-01'")
 def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-02-01'")
-    one = e.agg(F.count("*").alias("a"), F.count_distinct(F.col("ts").cast("date")).alias("b"))
-    return one.selectExpr("stack(2, 'events', a, 'days', b) AS (layer, n)")
+    window = F.expr("ts >= TIMESTAMP_NTZ '2024-01-10' AND ts < TIMESTAMP_NTZ '2024-02-01'")
+    return diagnostics.counts_in_window(table(spark, d, "events"), window, F.col("ts").cast("date"), ("events", "days"))
 
 
 @query(f"WITH {GOLD} SELECT g.trip_date, g.vendor_id, s_name AS vendor_name, g.trips, g.total_fare FROM gold g LEFT JOIN supplier ON g.vendor_id = CAST(s_suppkey AS VARCHAR) ORDER BY g.total_fare DESC, g.trip_date, g.vendor_id LIMIT 20")
@@ -294,18 +293,14 @@ def null_profile(spark: SparkSession, d: str) -> DataFrame:
 CONDITIONS = {"null_dropoff": "dropoff_ts IS NULL", "non_positive_duration": "dropoff_ts <= pickup_ts", "negative_fare": "fare_amount < 0", "zero_distance": "trip_distance = 0", "no_passengers": "passenger_count < 1", "long_distance": "trip_distance > 45"}
 
 
-def condition_counts() -> list[Column]:
-    return [F.count_if(F.coalesce(F.expr(c), F.lit(False))).alias(n) for n, c in CONDITIONS.items()]
-
-
 @query(f"WITH {CANONICAL} SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in CONDITIONS.items()) + " FROM canonical")
 def conditional_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return canonical_trips_of(spark, d).agg(F.count("*").alias("n"), *condition_counts())
+    return diagnostics.condition_counts(canonical_trips_of(spark, d), CONDITIONS)
 
 
 @query(f"WITH {CANONICAL}, one AS (SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in CONDITIONS.items()) + " FROM canonical) " + " UNION ALL ".join(f"SELECT 'validity' AS category, '{n}' AS metric_name, {n} AS metric_value, round({n} / n, 6) AS metric_rate FROM one" for n in CONDITIONS))
 def dq_summary(spark: SparkSession, d: str) -> DataFrame:
-    one = canonical_trips_of(spark, d).agg(F.count("*").alias("n"), *condition_counts())
+    one = diagnostics.condition_counts(canonical_trips_of(spark, d), CONDITIONS)
     long = one.selectExpr("n", f"stack({len(CONDITIONS)}, {', '.join(f"'{c}', {c}" for c in CONDITIONS)}) AS (metric_name, metric_value)")
     return long.select(F.lit("validity").alias("category"), "metric_name", "metric_value", F.round(F.try_divide("metric_value", "n"), 6).alias("metric_rate"))
 
@@ -327,18 +322,28 @@ def table_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {VALID} SELECT (SELECT count(*) FROM canonical) AS rows_in, (SELECT count(*) FROM valid) AS rows_out, round(1.0 - (SELECT count(*) FROM valid) / (SELECT count(*) FROM canonical), 6) AS drop_rate")
 def drop_rate(spark: SparkSession, d: str) -> DataFrame:
-    # both counts from one pass over the join
     kept = (F.col("dropoff_ts") > F.col("pickup_ts")) & (F.col("fare_amount") >= 0) & (F.col("trip_distance") >= 0)
-    one = canonical_trips_of(spark, d).agg(F.count("*").alias("rows_in"), F.count_if(F.coalesce(kept, F.lit(False))).alias("rows_out"))
-    return one.select("*", F.round(1.0 - F.try_divide("rows_out", "rows_in"), 6).alias("drop_rate"))
+    return diagnostics.drop_rate(canonical_trips_of(spark, d), kept)
 
 
 @query(f"WITH {GOLD} SELECT (SELECT count(*) FROM clean) AS silver_rows, CAST((SELECT sum(trips) FROM gold) AS BIGINT) AS gold_trips, CAST((SELECT count(*) FROM clean) - (SELECT sum(trips) FROM gold) AS BIGINT) AS diff")
 def cross_layer_sum(spark: SparkSession, d: str) -> DataFrame:
     silver = clean_trips_of(spark, d)
-    gold = transforms.daily_kpi(silver)
-    one = silver.agg(F.count("*").alias("silver_rows")).crossJoin(gold.agg(F.sum("trips").alias("gold_trips")))  # one row each
-    return one.select("*", (F.col("silver_rows") - F.col("gold_trips")).alias("diff"))
+    return diagnostics.cross_layer_sum(silver, transforms.daily_kpi(silver))
+
+
+SUMMARY_COLUMNS = ("trip_id", "vendor_id", "pickup_ts", "tip_amount")
+
+
+@query(f"""WITH {GOLD}, r AS (SELECT count(*) AS n FROM canonical), s AS (SELECT count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in CONDITIONS.items())} FROM clean), g AS (SELECT count(*) AS n, sum(trips) AS t FROM gold),
+  x AS (SELECT 'reconciliation' AS category, 'raw_rows' AS metric_name, r.n AS metric_value, NULL AS metric_rate FROM r UNION ALL SELECT 'reconciliation', 'silver_rows', n, NULL FROM s UNION ALL SELECT 'reconciliation', 'drop_rows', r.n - s.n, NULL FROM r, s
+  UNION ALL SELECT 'reconciliation', 'drop_rate', round((r.n - s.n) / r.n, 6), NULL FROM r, s UNION ALL SELECT 'reconciliation', 'gold_rows', n, NULL FROM g UNION ALL SELECT 'reconciliation', 'gold_trips', t, NULL FROM g
+  {" ".join(f"UNION ALL SELECT 'validity', '{n}', {n}, round({n} / n, 6) FROM s" for n in CONDITIONS)} UNION ALL SELECT 'drift', 'missing_columns', 1, NULL UNION ALL SELECT 'drift', 'extra_columns', {len(TRIP_TYPES) - 3}, NULL)
+  SELECT category, metric_name, CAST(metric_value AS DOUBLE) AS metric_value, CAST(metric_rate AS DOUBLE) AS metric_rate FROM x""")
+def quality_summary(spark: SparkSession, d: str) -> DataFrame:
+    """All three categories, of raw, clean and daily trips."""
+    silver = clean_trips_of(spark, d)
+    return diagnostics.summary(canonical_trips_of(spark, d), silver, transforms.daily_kpi(silver), CONDITIONS, SUMMARY_COLUMNS)
 
 
 FAILED = "CASE WHEN trip_id IS NULL OR pickup_ts IS NULL THEN 'R1' WHEN trip_distance IS NULL OR trip_distance < 2 OR trip_distance > 48 THEN 'R2' WHEN fare_amount IS NULL OR fare_amount < 1000 THEN 'R3' END"
@@ -365,6 +370,20 @@ def contract_summary(spark: SparkSession, d: str) -> DataFrame:
     return rules.enforcement_counts(tags_of(spark, d))
 
 
+@query(f"WITH {CANONICAL}, f AS (SELECT * FROM canonical WHERE {FAILED} IS NULL), k AS (SELECT vendor_id, pickup_date, count(*) AS n FROM f GROUP BY 1, 2) SELECT (SELECT count(*) FROM f) AS valid_count, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated_keys, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM k")
+def contract_key(spark: SparkSession, d: str) -> DataFrame:
+    """Uniqueness of a contract's key (vendor and day here) over the rows that break no rule."""
+    return rules.key_uniqueness(rules.valid_rows(tags_of(spark, d)), ["vendor_id", "pickup_date"])
+
+
+# whole rows are equal where the hash ties, so any of them is the same row
+@query("SELECT DISTINCT l_suppkey, CAST(l_shipdate AS DATE) AS day, l_returnflag FROM (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC) AS n FROM lineitem) WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY sha256('{\"day\":\"' || strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') || '\",\"l_returnflag\":\"' || l_returnflag || '\",\"l_suppkey\":' || l_suppkey || '}') DESC) = 1")
+def dedup_by_row_hash(spark: SparkSession, d: str) -> DataFrame:
+    """The latest row of a supplier; ties go by the hash of the whole row as JSON."""
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("day"), "l_returnflag")
+    return transforms.latest(rows, ["l_suppkey"], "day")
+
+
 TARGET, SOURCE = "o_orderdate < TIMESTAMP '1997-01-01'", "o_orderdate >= TIMESTAMP '1996-12-01'"
 COLUMNS = "o_orderkey, o_custkey, o_orderdate, version"
 SPLIT = f"""t AS (SELECT o_orderkey, o_custkey, o_orderdate, 1 AS version FROM orders WHERE {TARGET}), s AS (SELECT o_orderkey, o_custkey, o_orderdate, 2 AS version FROM orders WHERE {SOURCE}),

@@ -43,6 +43,10 @@ class Pipeline:
     #: Keep earlier runs' gate summaries.
     append_summary: bool = False
     strict_defaults: bool = False
+    #: Enforce the raw contract as well: a missing column, a wrong type or too many bad rows end the run.
+    enforce_raw: bool = False
+    #: A NaN breaks a range rule.
+    reject_nan: bool = False
 
     def metrics(self, name: str, dataset: str, version: Any, values: dict[str, Any]) -> None:
         row = [(self.run_ts, self.run_id, name, dataset, int(version), json.dumps(values, sort_keys=True, default=str))]
@@ -54,11 +58,19 @@ class Pipeline:
         if not records.isEmpty():
             self.store.append(f"quality.quarantine_{contract.dataset.replace('.', '_')}", records)
 
+    def staged(self, dataset: str, df: DataFrame) -> DataFrame:
+        """The rows written once and read again, so that the counts, the quarantine, the upsert and the reconciliation
+        don't each work them out anew."""
+        table = f"work.{dataset.replace('.', '_')}"
+        self.store.overwrite(table, df)
+        self.store.vacuum(table)
+        return self.store.read(self.spark, table)
+
     def load(self, name: str, dataset: str, df: DataFrame, before: DataFrame | None, day: str) -> dict[str, Any]:
         contract = contracts.load(self.folder, dataset)
-        done = rules.enforce(df, contract, self.max_invalid_ratio)
+        done = rules.enforce(df, contract, self.max_invalid_ratio, reject_nan=self.reject_nan, stage=lambda tags: self.staged(dataset, tags))
         self.quarantine(done.quarantine, contract)
-        merged = incremental_merge(self.store, done.valid, dataset, contract.primary_key, contract.watermark, contract.late_arrival_days)
+        merged = incremental_merge(self.store, done.valid, dataset, contract.primary_key, contract.watermark, contract.late_arrival_days, partition_by=day)
         target = self.store.read(self.spark, dataset).filter(in_month(day, self.year, self.month))
         report = rules.reconcile(done.valid if before is None else before, target, 0.0, strict=False)
         values = {"enforcement": done.summary, "merge": merged, "reconciliation": report}
@@ -66,7 +78,14 @@ class Pipeline:
         return values
 
     def raw(self, path: str) -> None:
-        self.store.overwrite(RAW, raw_rows(self.spark, path, year=self.year, month=self.month))
+        rows = raw_rows(self.spark, path, year=self.year, month=self.month)
+        if self.enforce_raw:
+            contract = contracts.load(self.folder, RAW)
+            done = rules.enforce(rows, contract, self.max_invalid_ratio, reject_nan=self.reject_nan, stage=lambda tags: self.staged(RAW, tags))
+            self.quarantine(done.quarantine, contract)
+            self.metrics("raw", RAW, contract.version, {"enforcement": done.summary})
+            rows = done.valid
+        self.store.overwrite(RAW, rows)
 
     def clean(self) -> dict[str, Any]:
         trips = transforms.canonical(self.store.read(self.spark, RAW)).filter(in_month("pickup_date", self.year, self.month))

@@ -12,11 +12,11 @@ from tidemark.operators.upsert import incremental_merge
 from tidemark.sources.store import TableStore
 
 
-def upsert_sink(stream: DataFrame, store: TableStore, table: str, keys: Sequence[str], watermark: str, days: int, checkpoint: str) -> DataStreamWriter:
+def upsert_sink(stream: DataFrame, store: TableStore, table: str, keys: Sequence[str], watermark: str, days: int, checkpoint: str, partition_by: str | None = None) -> DataStreamWriter:
     """Each micro-batch is merged like a batch load; running one twice changes nothing."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        incremental_merge(store, batch, table, keys, watermark, days)
+        incremental_merge(store, batch, table, keys, watermark, days, partition_by)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
