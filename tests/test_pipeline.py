@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tidemark import cli
 from tidemark.plans import backfill
 from tidemark.plans.pipeline import CLEAN, DAILY, METRICS, METRICS_SCHEMA, RAW, SUMMARY, Pipeline
-from tidemark.sources.session import resolve_input
+from tidemark.sources.session import raw_rows, resolve_input
 from tidemark.sources.store import TableStore
 from tidemark.streaming import sinks
 
@@ -91,11 +91,40 @@ def test_input_resolution(tmp_path, capsys):
         resolve_input(tmp_path, None, 2024, 1)
     (tmp_path / "yellow_tripdata_2024-01.parquet").write_bytes(b"x")
     assert resolve_input(tmp_path, None, 2024, 1).name == "yellow_tripdata_2024-01.parquet"
+    assert resolve_input("hdfs://name/lake/", None, 2024, 1) == "hdfs://name/lake/yellow_tripdata_2024-01.parquet"
+    assert resolve_input(tmp_path, "s3a://b/x.parquet") == "s3a://b/x.parquet"
     with pytest.raises(ValueError):
         resolve_input(tmp_path)
     del capsys
 
 
+def test_raw_rows_by_place(spark, tmp_path):
+    path = sample(spark, tmp_path / "in.parquet")
+    rows = raw_rows(spark, f"file://{path}", year=2024, month=1).collect()
+    assert {r["source_file"] for r in rows} == {"in.parquet"} and len(rows) == 3
+    assert all(abs(r["ingest_ts"].timestamp() - datetime.now().timestamp()) < 600 for r in rows)
+
+
+def test_raw_contract(spark, tmp_path):
+    store, path = TableStore(str(tmp_path / "w"), spark), sample(spark, tmp_path / "in.parquet")
+    with pytest.raises(ValueError, match="Missing required"):
+        Pipeline(spark, store, "r", enforce_raw=True).raw(path)
+    assert not store.exists(RAW)
+
+
+def test_layers_keep_untouched_days(spark, tmp_path):
+    store, path = TableStore(str(tmp_path / "w"), spark), sample(spark, tmp_path / "in.parquet")
+    run = Pipeline(spark, store, "r", datetime(2024, 2, 1, tzinfo=timezone.utc), strict_quality=False)
+    run.all(path)
+    assert store.partition_of(CLEAN) == "pickup_date" and store.partition_of(DAILY) == "trip_date"
+    before = set(store.read(spark, CLEAN).inputFiles())
+    late = spark.read.parquet(path).filter("tpep_pickup_datetime >= '2024-01-09'").withColumn("passenger_count", F.lit(5).cast("long"))
+    late.coalesce(1).write.parquet(str(tmp_path / "late.parquet"))
+    run.all(str(tmp_path / "late.parquet"))
+    after = set(store.read(spark, CLEAN).inputFiles())
+    assert len(before & after) == 2 and store.read(spark, CLEAN).count() == 4
+
+
 def test_cli_exit_code(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.chdir(tmp_path)
     assert cli.main(["run-bronze", "--warehouse", str(tmp_path / "w"), "--year", "2024", "--month", "1"]) == 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -14,6 +15,10 @@ from tidemark.functions.columns import in_month
 from tidemark.operators.transforms import normalise
 
 
+#: A place that has a file system's name before it.
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]+:/")
+
+
 def session(name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """Adaptive plans, UTC, and nothing that ties the session to one machine unless a master is given."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -28,12 +33,18 @@ def input_name(year: int, month: int) -> str:
     return f"yellow_tripdata_{year:04d}-{month:02d}.parquet"
 
 
-def resolve_input(root: str | Path, explicit: str | None = None, year: int | None = None, month: int | None = None) -> Path:
-    """The given file, or the month's under the root; it must exist and hold something."""
+def resolve_input(root: str | Path, explicit: str | None = None, year: int | None = None, month: int | None = None) -> str | Path:
+    """The given file, or the month's under the root; it must exist and hold something. A place with a scheme
+    (hdfs://, s3a://, file:/) is left to Spark, which fails if nothing is there."""
     if explicit:
+        if SCHEME.match(explicit):
+            return explicit
         candidates = [Path(explicit)]
     elif year and month:
-        candidates = [Path(root) / input_name(year, month), Path(root) / "data" / "raw" / input_name(year, month)]
+        name = input_name(year, month)
+        if SCHEME.match(str(root)):
+            return f"{str(root).rstrip('/')}/{name}"
+        candidates = [Path(root) / name, Path(root) / "data" / "raw" / name]
     else:
         raise ValueError("give a file, or a year and a month")
     for p in candidates:
@@ -43,11 +54,12 @@ def resolve_input(root: str | Path, explicit: str | None = None, year: int | Non
 
 
 def raw_rows(spark: SparkSession, path: str, pickup: str = "tpep_pickup_datetime", year: int | None = None, month: int | None = None) -> DataFrame:
-    """The file's rows of the month, typed, with where and from when they are."""
-    df, _ = normalise(spark.read.parquet(str(path)))
-    stamp = datetime.fromtimestamp(Path(path).stat().st_mtime, timezone.utc)
+    """The file's rows of the month, typed, with where and from when they are (each file of a folder has its own)."""
+    read = spark.read.parquet(str(path))
+    columns = [c for c in read.columns if c not in ("ingest_ts", "source_file")]
+    df, _ = normalise(read.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_modification_time").alias("ingest_ts"), F.lit(str(path).rstrip("/").rpartition("/")[2]).alias("source_file")))
     kept = df.filter(in_month(pickup, year, month, "timestamp"))
-    return kept.select(F.lit(stamp).cast("timestamp").alias("ingest_ts"), F.lit(Path(path).name).alias("source_file"), *df.columns)
+    return kept.select("ingest_ts", "source_file", *[f"`{c}`" for c in columns])
 
 
 class JsonLines(logging.Formatter):
