@@ -156,6 +156,67 @@ def test_edits_of_many_null_ids(spark):
     assert Counter(tuple(r) for r in sketches.compare_edits(df).select("doc_id", "n_chars", "edited_sha256").collect()) == want
 
 
+def plain_edits(rows):
+    """Counter of (id, length, hash of the edited text) of rows (id, text, tie), by descending id, null ids last."""
+    known = sorted((r for r in rows if r[0] is not None), key=lambda r: r[2])
+    known.sort(key=lambda r: r[0], reverse=True)
+    rows = known + sorted((r for r in rows if r[0] is None), key=lambda r: r[2])
+    want = Counter()
+    for k, (d, t, _) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        want[d, len(t), sha256((t[: len(t) - len(t) // 2] + following[: len(t) // 2]).encode()).hexdigest()] += 1
+    return want
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "double", "date"])
+def test_edits_by_any_id(spark, kind):
+    """Ids of every type, one of which holds a third of the rows."""
+    rows = [(7 if k % 3 == 0 else k, f"text number {k} " * (1 + k % 4)) for k in range(900)] + [(None, "no id"), (None, None), (2000, "")]
+    source = F.date_add(F.lit("2020-01-01").cast("date"), F.col("n").cast("int")) if kind == "date" else F.col("n").cast(kind)
+    df = spark.createDataFrame(rows, "n long, text string").select(source.alias("key"), F.coalesce("text", F.lit("")).alias("body")).repartition(5)
+    tied = [tuple(r) for r in df.select("key", "body", F.xxhash64("body")).collect()]
+    out = sketches.compare_edits(df, "key", "body")
+    assert Counter(tuple(r) for r in out.select("doc_id", "n_chars", "edited_sha256").collect()) == plain_edits(tied)
+
+
+def test_hot_id_is_dealt_to_many_ranges(spark):
+    df = spark.createDataFrame([(7 if k % 3 else k, f"row {k}") for k in range(3000)], "doc_id long, text string")
+    at = []
+
+    def prepare(rows):
+        at.append(max(r["count"] for r in rows.groupBy("__bucket").count().collect()))
+        return rows
+
+    sketches.with_next(df, "doc_id", prepare, ["text"])
+    assert at[0] < 300
+
+
+def test_likeness_of_table(spark, docs):
+    """Fingerprints and likeness of the query against sets of hashes made apart."""
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    edited = [t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2] for k, (_, t) in enumerate(rows)]
+
+    def grams(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        return [tuple(w[k : k + 5]) for k in range(len(w) - 4)] or ([tuple(w)] if w else [])
+
+    every = sorted({g for t in [*(t for _, t in rows), *edited] for g in grams(t)})
+    table = spark.createDataFrame([(k, list(g)) for k, g in enumerate(every)], "k int, g array<string>")
+    hashed = {every[k]: h for k, h in table.select("k", F.xxhash64("g")).collect()}
+    sketch = lambda t: plain_sketch(None, [hashed[g] for g in grams(t)])
+    shown = lambda s: "".join(f"{h % (1 << 64):016x}" for h in s)
+
+    def alike(a, b):
+        return float(len(a) == len(b)) if not a or not b else len(set(a) & set(b)) / min(len(a), len(b))
+
+    own, other = [sketch(t) for _, t in rows], [sketch(t) for t in edited]
+    out = {r["doc_id"]: r for r in sketches.compare_edits(docs).collect()}
+    for k, (d, _) in enumerate(rows):
+        r = out[d]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(own[k]), shown(other[k]))
+        assert r["near_edited"] == pytest.approx(alike(own[k], other[k])) and r["near_next"] == pytest.approx(alike(own[k], own[(k + 1) % len(rows)]))
+
+
 def plain_feistel(value, a, b, key, kind):
     x, y = divmod(value, b)
     f = lambda r, v: int(sha256(f"{key}|{kind}|{r}|{v}".encode()).hexdigest()[:15], 16)

@@ -14,16 +14,20 @@ tables give no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 SHINGLE = 5
 #: One in so many hashes is kept.
 SCALE = 8
 WHITE = "\t\n\x0b\x0c\r "
 BUCKETS_PER_TASK = 4
+#: Rows read for each range where the ids' quantiles come from a sample.
+SAMPLE = 20
 
 
 def words_of(text: Column) -> Column:
@@ -70,39 +74,62 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return F.array_sort(F.when(F.size(below) > 0, below).when(F.size(both) > 0, F.array(F.array_min(both))).otherwise(both))
 
 
+def quantiles(df: DataFrame, id_col: str, n: int) -> tuple[list, int]:
+    """Up to n - 1 quantiles of the ids, repeated where an id fills more than one part, and the number of null ids. Of
+    ids that aren't whole numbers, they are those of the `SAMPLE` times n rows with the least hashes of their whole
+    row: the bound holds at any size, and only the balance of the ranges hangs on them, no result."""
+    held = F.col(id_col)
+    nulls = F.count_if(held.isNull()).alias("nulls")
+    if isinstance(df.schema[id_col].dataType, IntegralType):
+        seen = df.agg(F.percentile_approx(held, [k / n for k in range(1, n)], 20 * n).alias("q"), nulls).first()
+        return seen["q"] or [], seen["nulls"]
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    ids = sorted(r[0] for r in df.filter(held.isNotNull()).select(held, order.alias("__order")).orderBy("__order").limit(SAMPLE * n).collect())
+    return [ids[k * len(ids) // n] for k in range(1, n)] if ids else [], df.agg(nulls).first()["nulls"]
+
+
 def with_next(df: DataFrame, id_col: str, prepare: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
     """Adds what `prepare` makes of each row, once a row, and `next_<c>` for each column: its value in the next row by descending id, after the last in the first.
 
     Rows are dealt to ranges of ids in one shuffle; within a range a window looks ahead, and each range
     also holds the first row of the range below it (one row, found from the ranges' greatest ids), so no
-    task sees more than a range. Ranges come from quantiles of the ids, a few for each task. Null
-    ids come last, in order of the hash of their row's other columns, and are dealt to as many ranges of that hash;
-    rows of one id are in order of the hash of `columns`.
+    task sees more than a range. Ranges come from quantiles of the ids, a few for each task. Ids of any type that
+    has an order will do. Null ids come last, in order of the hash of their row's other columns, and are dealt to as
+    many ranges of that hash; so are the rows of an id that fills more than a range. Other rows of one id are
+    in order of the hash of `columns`.
     """
     spark = df.sparkSession
     n = BUCKETS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = df.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 20 * n).alias("q"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
-    cuts = seen["q"] or []
-    bounds = F.lit(sorted(set(cuts))).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    steps = F.lit([1 << k for k in reversed(range(max(1, len(cuts)).bit_length()))])
     held = F.col(id_col)
+    cuts, nulls = quantiles(df, id_col, n)
+    kind = df.schema[id_col].dataType.simpleString()
+    values = sorted(set(cuts))
+    bounds = F.lit(values).cast(f"array<{kind}>") if cuts else F.array().cast(f"array<{kind}>")
+    steps = F.lit([1 << k for k in reversed(range(max(1, len(cuts)).bit_length()))])
+    # an id that is a quantile more than once fills at least a range
+    often = sorted(v for v, k in Counter(cuts).items() if k > 1)
+    hot = held.isin(often) if often else F.lit(False)
+    by_hash = bool(nulls or often)
 
     def onward(at: Column, step: Column) -> Column:
         return F.when(at + step > F.size(bounds), at).when(F.get(bounds, at + step - 1) <= held, at + step).otherwise(at)
 
-    # the texts are only read for this where there are null ids
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != id_col]) if seen["nulls"] else F.lit(0).cast("long")
-    null_range = F.shiftright((F.shiftright(tie, 32) + (1 << 31)) * n, 32).cast("int")
-    bucket = F.when(held.isNull(), -1 - null_range).otherwise(F.aggregate(steps, F.lit(0), onward))
-    # the first row of each range, that of the greatest id or the least hash: at most 2 n rows
+    # the texts are only read for this where there are null ids or hot ones
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c != id_col]) if by_hash else F.lit(0).cast("long")
+    hash_range = F.shiftright((F.shiftright(tie, 32) + (1 << 31)) * n, 32).cast("int")
+    # downwards: the rows above a range's hot id, that id's hashes from the least on, the range below
+    width = n + 1 if often else 1
+    at = F.aggregate(steps, F.lit(0), onward) * width
+    bucket = F.when(held.isNull(), -1 - hash_range).when(hot, at + (n - 1) - hash_range).otherwise(at + (width - 1))
+    # the first row of each range, that of the greatest id or the least hash: at most (1 + the hot ids) n rows, 2 n for them all
     pair = F.struct(held.alias("i"), F.bitwise_not(tie).alias("r"))
-    # a greatest struct needs sorted rows, so it is only taken where there are null ids
-    first = F.max(pair) if seen["nulls"] else F.struct(F.max(held).alias("i"), F.lit(-1).cast("long").alias("r"))
-    tops = sorted((r["b"], r["top"]["i"], ~r["top"]["r"]) for r in df.groupBy(bucket.alias("b")).agg(first.alias("top")).collect())
+    # a greatest struct needs sorted rows, so it is only taken where there are hashes
+    first = F.max(pair) if by_hash else F.struct(F.max(held).alias("i"), F.lit(-1).cast("long").alias("r"))
+    tops = sorted(((r["b"], r["top"]["i"], ~r["top"]["r"]) for r in df.groupBy(bucket.alias("b")).agg(first.alias("top")).collect()), key=lambda x: x[0])
     if not tops:
         return prepare(df).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     above = [(tops[(k + 1) % len(tops)][0], *top) for k, (_, *top) in enumerate(tops)]
-    kinds = {"to_bucket": "int", "top": "long", "top_tie": "long"}
+    kinds = {"to_bucket": "int", "top": kind, "top_tie": "long"}
     ghosts = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).cast(kind).alias(c) for x, (c, kind) in zip(row, kinds.items(), strict=True)]) for row in above])))
     own = df.withColumns({"__bucket": bucket, "__ghost": F.lit(False), "__tie": tie})
     sent = df.withColumn("__tie", tie).join(F.broadcast(ghosts), held.eqNullSafe(ghosts["top"]) & (F.col("__tie") == ghosts["top_tie"]))
