@@ -161,6 +161,21 @@ def test_hot_group_is_cut(spark):
     assert max(load.values()) < 1.05 * min(load.values())
 
 
+def test_layers_of_pieces(spark, docs, nothing, monkeypatch):
+    """More tasks than the driver's layer is cut for: a layer stands between, and nothing else changes."""
+    monkeypatch.setattr(sharding, "FIRST", 2)
+    skewed = spark.range(900).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('same text ', 20) ELSE repeat(concat('x', id), 20 + id % 30) END AS text")
+    for df in (docs, skewed):
+        load = check_shards(df, sharding.assign(df, 24).collect(), 24)
+        assert len(load) == 24 and max(load.values()) < 1.05 * min(load.values())
+    for df in (docs, skewed):
+        shards_of = {}
+        for r in sharding.assign(df, 3).join(df, "doc_id").collect():
+            shards_of.setdefault(r["text"], set()).add(r["shard"])
+        assert sum(len(v) > 1 for v in shards_of.values()) <= 1
+    assert sharding.assign(nothing, 24).count() == 0
+
+
 def test_licences(spark, small, nothing):
     rows = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame([(1, "Some text here.\nReleased under the MIT License.\nmore"), (2, "released UNDER the mit license"), (3, "nothing of the kind, really"), (4, None)], "doc_id long, text string")).collect()}
     assert [rows[k]["licence"] for k in (1, 2, 3, 4)] == ["MIT", "MIT", None, None]

@@ -5,11 +5,12 @@ together, unless the group alone is larger than a shard should be; such a group
 many as shards) is cut into pieces of whole documents, each no larger than a shard.
 
 Differencing keeps partial partitions, each a vector of shard sums, and always joins the two with the
-largest spread, one in falling and one in rising order, until one is left. It runs in three
-places: on the driver over the heavy pieces alone (those above a small part of a task's share of a shard, so
-their number is bounded by the tasks), in each task over the task's groups together with its share of
-the heavy pieces' imbalance, and on the driver once more over the tasks' vectors. Only vectors of shard
-sums travel; groups stay where they are.
+largest spread, one in falling and one in rising order, until one is left. It runs by layers of size: on
+the driver over the heavy pieces alone, then in each task over the task's groups together with its share of
+the imbalance that heavier layers left, and on the driver once more over the tasks' vectors. A layer's pieces are
+those above a small part of a share of a shard in a task of the next layer. The driver's layer is cut for `FIRST`
+tasks at most, so its pieces are bounded by the shards, however many tasks there are; where the session has more tasks,
+a layer of `FIRST` tasks stands between. Only vectors of shard sums travel; groups stay where they are.
 
 Sizes are UTF-8 bytes plus a constant for each document. Nulls: a null text has no bytes and is in a
 group with the empty ones; a null document id stays null. Repeated rows are each placed. An empty
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, pick, ship
 
 OVERHEAD = 8
-#: Pieces above this part of a task's share of a shard are placed on the driver, `shards * tasks / HEAVY` at most.
+#: Pieces above this part of a task's share of a shard are placed before the task's own.
 HEAVY = 0.25
+#: Tasks that the driver's layer is cut for; it holds `shards * FIRST / HEAVY` pieces at most, beside the cuts.
+FIRST = 256
 
 
 def difference(vectors: list[list[int]], shards: int) -> tuple[list[int], list[list[int]]]:
@@ -90,9 +93,11 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     total = groups.agg(F.sum(F.col("n") * F.col("size"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = -(-total // shards) or 1
-    heavy_from = max(1, int(HEAVY * total / (shards * tasks)))
+    layers = [tasks] if tasks <= FIRST else [FIRST, tasks]
+    floors = [max(1, int(HEAVY * total / (shards * t))) for t in layers]
+    heavy_from = floors[0]
 
-    # heavy groups, cut into pieces no larger than a shard: at most shards * tasks / HEAVY of them, plus the cuts
+    # heavy groups, cut into pieces no larger than a shard: at most shards * FIRST / HEAVY of them, plus the cuts
     heavy = groups.filter(F.col("n") * F.col("size") >= heavy_from).sort("key").collect()
     per_piece = {bytes(g["key"]): max(1, most // g["size"]) for g in heavy}
     pieces = [(bytes(g["key"]), k, min(per, g["n"] - k * per) * g["size"]) for g in heavy for per in [per_piece[bytes(g["key"])]] for k in range(-(-g["n"] // per))]
@@ -100,7 +105,6 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     heavy_shards: dict[bytes, list[int]] = {}
     for (key, _, _), at in zip(pieces, places, strict=True):
         heavy_shards.setdefault(key, []).append(at[0])
-    heavy_total = sum(loads)
 
     # where a cut group's rows begin in each task: tasks * shards counts at most
     divided = [k for k, at in heavy_shards.items() if len(at) > 1]
@@ -131,10 +135,32 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     kind = rows.schema["doc_id"].dataType.simpleString()
     tagged = rows.mapInArrow(place_heavy, f"doc_id {kind}, size long, text_crc32 long, key binary, task int, shard int")
 
-    # the rest, task by task; every task levels its own share of what the heavy pieces left uneven
+    # the rest, layer by layer; in the last one every group is placed
+    weight = F.col("n") * F.col("size")
+    placed = []
+    for k, ceiling in enumerate(floors):
+        own = groups.filter(weight < ceiling)
+        if k + 1 < len(floors):
+            own = own.filter(weight >= floors[k + 1]).repartition(layers[k], "key")
+        else:
+            own = own.repartition("key")
+        rest = total - sum(loads) if k + 1 == len(floors) else own.agg(F.sum(weight)).first()[0] or 0
+        units, loads = place_layer(own, loads, rest, shards)
+        placed.append(units)
+    named = placed[0]
+    for more in placed[1:]:
+        named = named.unionByName(more)
+    plain = tagged.filter("shard IS NULL")
+    light_rows = plain.join(named, plain["key"] == named["k"]).select("doc_id", "size", "text_crc32", F.col("light_shard").alias("shard"))
+    return with_slots(light_rows.unionByName(tagged.filter("shard IS NOT NULL").select("doc_id", "size", "text_crc32", "shard")))
+
+
+def place_layer(groups: DataFrame, loads: list[int], rest: int, shards: int) -> tuple[DataFrame, list[int]]:
+    """(k, light_shard) of each group, and the shards' loads with them; `rest` is the groups' size in all. Every task
+    levels its own share of what the loads have uneven."""
+    spark = groups.sparkSession
     low = min(loads)
     uneven = [x - low for x in loads]
-    rest_total = total - heavy_total
 
     def place_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -144,20 +170,19 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
             return
         table = pa.Table.from_batches(found)
         sizes = (table["n"].to_numpy() * table["size"].to_numpy()).tolist()
-        share = [x * sum(sizes) // rest_total for x in uneven]
+        share = [x * sum(sizes) // rest for x in uneven]
         sums, at = difference([share, *([s] for s in sizes)], shards)
         # the share's own entries tell which shard is which
         shard_of = dict(zip(at[0], range(shards), strict=True))
         out = pa.array([shard_of[x[0]] for x in at[1:]], pa.int32())
         yield pa.RecordBatch.from_arrays([table["key"].combine_chunks(), pa.array(sizes, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(sizes), pa.int32()), out], names=["key", "bytes", "task", "local"])
 
-    light = groups.filter(F.col("n") * F.col("size") < heavy_from).repartition("key")
-    units = cut(light.mapInArrow(place_rest, "key binary, bytes long, task int, local int"))
+    units = cut(groups.mapInArrow(place_rest, "key binary, bytes long, task int, local int"))
     # a vector of shard sums for each task
     sums: dict[int, list[int]] = {}
     for r in units.groupBy("task", "local").agg(F.sum("bytes").alias("bytes")).collect():
         sums.setdefault(r["task"], [0] * shards)[r["local"]] = r["bytes"]
-    # tasks' vectors may be turned among shards that the heavy pieces load alike
+    # tasks' vectors may be turned among shards that the heavier pieces load alike
     turn = {t: list(range(shards)) for t in sums}
     for load in set(loads):
         own = [k for k in range(shards) if loads[k] == load]
@@ -167,11 +192,13 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
             for t, to in zip(order, at, strict=True):
                 for k, j in zip(own, to, strict=True):
                     turn[t][k] = own[j]
+    after = list(loads)
+    for t, row in turn.items():
+        for k, to in enumerate(row):
+            after[to] += sums[t][k]
     turns = spark.createDataFrame([(t, k, to) for t, row in turn.items() for k, to in enumerate(row)], "t int, l int, light_shard int")
     named = units.join(F.broadcast(turns), (units["task"] == turns["t"]) & (units["local"] == turns["l"])).select(F.col("key").alias("k"), "light_shard")
-    plain = tagged.filter("shard IS NULL")
-    light_rows = plain.join(named, plain["key"] == named["k"]).select("doc_id", "size", "text_crc32", F.col("light_shard").alias("shard"))
-    return with_slots(light_rows.unionByName(tagged.filter("shard IS NOT NULL").select("doc_id", "size", "text_crc32", "shard")))
+    return named, after
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
