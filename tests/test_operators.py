@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import date, datetime, timezone
 
 import pytest
@@ -321,3 +322,14 @@ def test_quality_summary(spark):
     assert found["reconciliation", "gold_trips"] == (2.0, None) and len(found) == 10
     empty = diagnostics.summary(raw.limit(0), raw.limit(0), gold.limit(0), {"negative": "fare < 0"}, ["k", "fare"])
     assert {r["metric_value"] for r in empty.collect()} == {0.0}
+
+
+@pytest.mark.parametrize("decimals", [2, 6])
+def test_stable_numbers(spark, decimals):
+    """Against the formatter, over ties, signs, zeros, extremes and values that are none."""
+    rng = random.Random(7)
+    values = [0.0, -0.0, 0.005, -0.004, 1.005, 2.675, -2.675, 0.125, 1e-9, -1e-9, 1e12, 1e15, 1e300, -1e22, 999999999999.995, float("nan"), float("inf"), float("-inf"), None, 0.0000005, 0.0000015]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 14) for _ in range(20_000)] + [rng.randint(-(10**9), 10**9) / 2000 for _ in range(20_000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    plain = F.when(F.col("x").isNull(), "__null__").otherwise(F.format_string(f"%.{decimals}f", "x"))
+    assert df.select("x", stable_number("x", decimals).alias("a"), plain.alias("b")).filter("a IS DISTINCT FROM b").collect() == []
