@@ -140,6 +140,19 @@ def test_cli_exit_code(spark, tmp_path, monkeypatch, capsys):
     assert (tmp_path / "out" / "kpi.txt").read_text() == capsys.readouterr().out
 
 
+def test_cli_switches(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    path, w = sample(spark, tmp_path / "in.parquet"), str(tmp_path / "w")
+    assert cli.main(["run-bronze", "--warehouse", w, "--input", path, "--enforce-raw"]) == 2
+    assert "Missing required" in capsys.readouterr().err
+    for _ in range(2):
+        assert cli.main(["run-all", "--warehouse", w, "--input", path, "--append-summary", "--strict-defaults"]) == 0
+    store = TableStore(w, spark)
+    assert store.read(spark, SUMMARY).count() == 12
+    assert cli.main(["clean", "--warehouse", w, "--root", str(tmp_path)]) == 0
+    assert store.vacuum(CLEAN) == 0 and store.read(spark, CLEAN).count() == 3
+
+
 def test_stream_equals_batch(spark, tmp_path):
     store = TableStore(str(tmp_path / "w"), spark)
     rows = spark.createDataFrame([("a", 1, datetime(2024, 1, 1)), ("a", 2, datetime(2024, 1, 2)), ("b", 1, datetime(2024, 1, 1))], "k string, v int, at timestamp")

@@ -12,12 +12,14 @@ from pathlib import Path
 import yaml
 
 from tidemark.plans import backfill
-from tidemark.plans.pipeline import CLEAN, CONTRACTS, DAILY, METRICS, RAW, SUMMARY, Pipeline
+from tidemark.plans.pipeline import CONTRACTS, Pipeline
 from tidemark.sources import contracts
 from tidemark.sources.session import log_to, resolve_input, session
 from tidemark.sources.store import TableStore
 
 STAGES = {"run-bronze": "raw", "run-silver": "clean", "run-gold": "daily", "run-quality": "quality", "run-all": "all"}
+#: Options of the pipeline, all off by default.
+SWITCHES = ("enforce_unfiltered", "quality_in_window", "append_summary", "strict_defaults", "enforce_raw", "reject_nan")
 PREVIEW = 5  # rows that inspect shows of an input file
 
 
@@ -36,6 +38,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--master")
     p.add_argument("--contracts", default=str(CONTRACTS))
     p.add_argument("--base-contracts")
+    for switch in SWITCHES:
+        p.add_argument(f"--{switch.replace('_', '-')}", action="store_true")
     p.add_argument("--output", help="file for the report, beside printing it")
     return p
 
@@ -65,7 +69,7 @@ def command(args: argparse.Namespace) -> None:
     run_id = str(uuid.uuid4())
 
     def pipeline(run: str, year: int | None, month: int | None) -> Pipeline:
-        return Pipeline(spark, store, run, datetime.now(timezone.utc), year, month, args.max_invalid_ratio, not args.no_strict_quality)
+        return Pipeline(spark, store, run, datetime.now(timezone.utc), year, month, args.max_invalid_ratio, not args.no_strict_quality, **{k: getattr(args, k) for k in SWITCHES})
 
     log.info(args.command, extra={"fields": {"run_id": run_id}})
     if args.command == "inspect" and args.input:
@@ -81,9 +85,8 @@ def command(args: argparse.Namespace) -> None:
         for t in store.tables():
             store.drop(t)
     elif args.command == "clean":
-        for t in (RAW, CLEAN, DAILY, SUMMARY, METRICS):
-            if store.exists(t):
-                store.vacuum(t)
+        for t in store.tables():
+            store.vacuum(t)
         backfill.purge(Path(args.root) / "checkpoints")
     elif args.command == "report":
         text = pipeline(run_id, args.year, args.month).report()
@@ -93,7 +96,7 @@ def command(args: argparse.Namespace) -> None:
             Path(args.output).write_text(text)
     elif args.command == "run-backfill":
         planned = backfill.resolve_range(args.start, args.end, args.year, args.month)
-        settings = {"months": [backfill.token(m) for m in planned], "max_invalid_ratio": args.max_invalid_ratio, "strict": not args.no_strict_quality}
+        settings = {"months": [backfill.token(m) for m in planned], "max_invalid_ratio": args.max_invalid_ratio, "strict": not args.no_strict_quality} | {k: True for k in SWITCHES if getattr(args, k)}
         backfill.run(Path(args.root) / "checkpoints", run_id, planned, settings, lambda m, run: pipeline(run, *m).all(str(resolve_input(args.root, None, *m))))
     else:
         stage = getattr(pipeline(run_id, args.year, args.month), STAGES[args.command])
